@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concordia.llm import chat
+from concordia.llm import chat, neardup, quality, shards
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -24,6 +25,24 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(probe)))
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.interleave(_table(spark, sf_dir, "documents"), n_shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=75)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
+    "op2_quality_cascade": op2_quality_cascade,
+    "op3_stratified_shards": op3_stratified_shards,
+    "op4_minhash_neardup": op4_minhash_neardup,
 }
