@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm import texts as T
+from concordia.llm.scratch import small_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -132,6 +133,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300
     without words fail the base.  Repeated rows are judged alike; other columns do not
     matter; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     ordered = order(draw(docs, sample_size), rules)
     carry = list(carry)
     kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), *(f"`{c}` bigint" for c in FIGURES), "base_failed boolean", "kept boolean", "rejected_by string"])
@@ -155,6 +157,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300) -> DataFrame:
     """The rows of docs that pass, with their columns as they were."""
+    small_batches(docs.sparkSession)
     ordered = order(draw(docs, sample_size), rules)
     at = docs.columns.index("text")
 

@@ -21,6 +21,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows that pass to Python at once.  They hold whole texts, so the usual 10,000 are too many.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its executor hold of one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not a recomputation."""
 
