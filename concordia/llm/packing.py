@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.scratch import Scratch, small_batches
-from concordia.llm.tokens import encoder, in_parts
+from concordia.llm.tokens import encoder, gathered
 
 #: Rounds join the tasks' leftovers in so many times fewer tasks.
 FAN = 16
@@ -70,16 +70,15 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            doc, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for b, e in in_parts(texts):
-                for d, got in zip(doc[b:e], encoder(tokenizer).encode(texts[b:e]), strict=True):
-                    ids = memoryview(got + end)
-                    n, at, k = len(ids) // 4, 0, 0
-                    while at < n:
-                        length = (n - at) % size or size
-                        rows.append((d, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                        at, k = at + length, k + 1
+        for batch in gathered(batches):
+            rows = []
+            for d, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
+                ids = memoryview(got + end)
+                n, at, k = len(ids) // 4, 0, 0
+                while at < n:
+                    length = (n - at) % size or size
+                    rows.append((d, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
+                    at, k = at + length, k + 1
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm.scratch import Scratch, small_batches
-from concordia.llm.tokens import encoder, in_parts
+from concordia.llm.tokens import encoder, gathered
 
 #: Fixed values of the format: ids per word by selector, and the bits of each id.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 240
+#: Zeros after each block that the last word of the block may reach over.
+_PAD = 60
 SEGMENT_IDS = 1 << 20
 _MAGIC = b"S8B1"
 
@@ -47,29 +49,31 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     n = len(ids)
     n_blocks = -(-n // BLOCK)
     # Each block is followed by zeros, so the last word of a block may reach past it.
-    grid = np.zeros((n_blocks, 2 * BLOCK), np.uint64)
+    wide = BLOCK + _PAD
     flat = np.zeros(n_blocks * BLOCK, np.uint64)
     flat[:n] = ids
     flat[places] = 0
+    top = int(flat.max()) if n else 0
+    kind = np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
+    grid = np.zeros((n_blocks, wide), kind)
     grid[:, :BLOCK] = flat.reshape(n_blocks, BLOCK)
-    small = grid.astype(np.uint32) if not n or grid.max() < 1 << 32 else grid
-    most = {1: small}
+    most = {1: grid}
 
     def window(k: int) -> np.ndarray:
+        """Maxima of k ids from each place; those of shorter windows are reused."""
         if k not in most:
             half = (k + 1) // 2
             low = window(half)
-            out = low.copy()
-            np.maximum(out[:, : 2 * BLOCK - (k - half)], low[:, k - half :], out=out[:, : 2 * BLOCK - (k - half)])
-            most[k] = out
+            most[k] = np.maximum(low[:, : wide - k + 1], low[:, k - half : wide - half + 1])
         return most[k]
 
     best = np.full((n_blocks, BLOCK), 15, np.uint8)
     for s in range(14, -1, -1):
-        fits = window(int(COUNTS[s]))[:, :BLOCK] <= (1 << int(BITS[s])) - 1
+        k = int(COUNTS[s])
+        fits = window(k)[:, :BLOCK] <= min((1 << int(BITS[s])) - 1, np.iinfo(kind).max)
         if not fits.any():
             break  # then no longer window fits fewer bits
-        best[fits] = s
+        np.copyto(best[:, : fits.shape[1]], np.uint8(s), where=fits)
     ends = np.full(n_blocks, BLOCK)
     if n_blocks:
         ends[-1] = n - BLOCK * (n_blocks - 1)
@@ -90,12 +94,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     row, start = row[place], start[place]
     sel = best[row, start]
     words = sel.astype(np.uint64) << np.uint64(60)
+    cells, at = grid.ravel(), row * wide + start
     for s in np.unique(sel):
         if not BITS[s]:
             continue
         of = np.flatnonzero(sel == s)
+        own, first = words[of], at[of]
         for k in range(int(COUNTS[s])):
-            words[of] |= grid[row[of], start[of] + k] << np.uint64(k * int(BITS[s]))
+            own |= cells[first + k].astype(np.uint64) << np.uint64(k * int(BITS[s]))
+        words[of] = own
     offsets = np.searchsorted(row, np.arange(n_blocks)).astype(np.uint64)
     return words, offsets, places.astype(np.uint64), values
 
@@ -175,21 +182,23 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, n_fil
             row = [[file], [segment], [len(ids)], [len(flat)], [write_segment(ids, lengths, flat)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["file", "segment", "n_docs", "n_ids", "payload"])
 
-        for batch in batches:
-            doc, text = batch.column(0).to_pylist(), batch.column(1)
-            for b, e in in_parts(texts := text.to_pylist()):
-                for d, got in zip(doc[b:e], encoder(tokenizer).encode(texts[b:e]), strict=True):
-                    ids.append(d)
-                    lengths.append(len(got) // 4 + 1)
-                    parts += (got, end)
-                    total += lengths[-1]
-                    if total >= SEGMENT_IDS:
-                        yield flush()
-                        segment, ids, lengths, parts, total = segment + 1, [], [], [], 0
+        for batch in gathered(batches):
+            for d, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
+                ids.append(d)
+                lengths.append(len(got) // 4 + 1)
+                parts += (got, end)
+                total += lengths[-1]
+                if total >= SEGMENT_IDS:
+                    yield flush()
+                    segment, ids, lengths, parts, total = segment + 1, [], [], [], 0
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Bounds come from the ids alone, so no text is read to find them.
+    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)] or [0.5], 10_000)).first()[0] or []
+    file = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id"))))
+    rows = rows.repartitionById(n_files, file.cast("int")).sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(run, "file int, segment int, n_docs bigint, n_ids bigint, payload binary")
     made.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

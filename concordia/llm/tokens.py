@@ -2,67 +2,136 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from tokenizers import Tokenizer
 
-#: Where a fast path is known to be equal: the letters, digits and blanks of Latin scripts,
-#: which the pattern below and the library's own pre-tokenizer class alike.
-_OTHER = regex.compile("[^\x00-ɏ]")
-MEMORY = 400_000
+# The executors' tasks are the parallelism; threads of the library would only add to them.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Tokenizer  # noqa: E402
+
+#: Texts with anything but printable Latin characters and line feeds, or with three of blank and
+#: line feed together, or two at the end, are not cut.
+_UNCUT = r"[^\x20-\x7e\n\x{a1}-\x{24f}]|[ \n][ \n]([ \n]|\z)"
+#: Pieces remembered by a worker in each of two generations, about 200 bytes each.
+MEMORY = 600_000
+#: A word and the marks after it, which the pre-tokenizer always parts (but for apostrophes).
+_MARKED = regex.compile(r"(.*\p{L})([^\p{L}\p{N}\s']+)", regex.DOTALL).fullmatch
+#: Marks the start of a text; never in a text that is cut.
+_START = "\x01"
+#: Starts pieces that stand right after another one.
+_MARK = "\x02"
 
 
 class Encoder:
     """encode() equals Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Byte-level BPE splits a text by a pattern and encodes every piece by itself, so each
-    distinct piece needs to pass the library once; ids are kept as little-endian
-    unsigned 32-bit bytes.  Texts with special strings or other scripts go to the library
-    whole.
+    The byte-level pre-tokenizer never joins a blank or line feed to what stands before it,
+    and a single blank only to what follows.  So a text may be cut before every blank and
+    line feed, unless several of them stand together.  The pieces of many texts are
+    cut and numbered by Arrow, each new one passes the library, and the ids of the texts
+    are gathered by number.  Other texts, and those with special strings or other scripts,
+    pass the library whole.  Ids are little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = "|".join([_UNCUT, *special])
+        self.cuts = self._cuts()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.line = self._whole("\n")
 
-    def _whole(self, text: str) -> bool:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            if _OTHER.search(text):
-                return True
-        return any(s in text for s in self.special)
+    def _cuts(self) -> bool:
+        """Whether the tokenizer is of the kind that may be cut: byte-level, nothing before or after."""
+        made = json.loads(self.tokenizer.to_str())
+        kind = made["pre_tokenizer"] or {}
+        return made["normalizer"] is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: none) as bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif self._whole(text):
-                whole.append(i)
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, pieces: list[str]) -> None:
+        """Encode pieces without marks after them."""
+        shown = [" " + p if p[:1] not in (_START, _MARK, "\n") else p.lstrip(_START + _MARK) for p in pieces]
+        for b in range(0, len(pieces), 8192):
+            made = self.tokenizer.encode_batch_fast(shown[b : b + 8192], add_special_tokens=False)
+            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(pieces[b : b + 8192], made, strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces: of the word, and of the marks after it."""
+        known, older = self.known, self.older
+        plain: list[str] = []
+        parts: list[tuple[str, bytes, str, str]] = []
+        for p in new:
+            if p in older:
+                known[p] = older[p]
+            elif p[-1:].isalpha() and p[0] != "\n":
+                plain.append(p)
+            elif len(p) < 2:
+                plain.append(p)
+            else:
+                line, word, marks = b"", p, ""
+                if p[0] == "\n":
+                    line, word = self.line, _START + p[1:]
+                if not p[-1].isalpha() and (m := _MARKED(word)):
+                    word, marks = m[1], _MARK + m[2]
+                parts.append((p, line, word, marks))
+        need = {w for _, _, word, marks in parts for w in (word, marks)}
+        need.discard("")
+        need.difference_update(plain)
+        need.difference_update(known)
+        for w in need:
+            if w in older:
+                known[w] = older[w]
             else:
-                pieces.append((i, self.split(text)))
+                plain.append(w)
+        self._words(plain)
+        for p, line, word, marks in parts:
+            known[p] = line + known[word] + known[marks] if marks else line + known[word]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) as bytes."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if self.cuts:
+            whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
+        else:
+            whole = np.ones(len(texts), bool)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        at = np.flatnonzero(~whole)
+        if not len(at):
+            return out
+        marked = pc.binary_join_element_wise(_START, texts.take(pa.array(at)), "")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         known = self.known
-        new = list(set().union(*(p for _, p in pieces)).difference(known))
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
-        for i, p in pieces:
-            out[i] = b"".join(map(known.__getitem__, p))
-        if len(known) > MEMORY:  # keep what the last texts used
-            used = set().union(*(p for _, p in pieces))
-            self.known = {p: known[p] for p in used} if len(used) < MEMORY else {}
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        self._learn([w for w in words if w not in known])
+        made = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        flat = np.frombuffer(b"".join(made), "<u4")
+        begin = np.cumsum(size) - size
+        each = size[number]
+        stop = np.cumsum(each)
+        place = np.repeat(begin[number] - stop + each, each) + np.arange(stop[-1])
+        raw = flat[place].tobytes()
+        ends = np.concatenate(([0], stop))[np.asarray(lists.offsets)]
+        for k, i in enumerate(at.tolist()):
+            out[i] = raw[4 * ends[k] : 4 * ends[k + 1]]
+        if len(known) > MEMORY:
+            self.older, self.known = known, {}
         return out
 
 
@@ -72,13 +141,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_parts(texts: list[str | None], chars: int = 2_000_000):
-    """(begin, end) of runs of texts with about so many characters: bounds what is held at once."""
-    begin, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= chars:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes: many small ones are joined."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
