@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm import texts as T
@@ -18,8 +18,10 @@ ROWS, BANDS = 4, 32
 #: Signatures that agree on fewer minima are not compared further: at a true similarity of
 #: 0.75 the share of agreeing minima is below 0.5 with a probability under 1e-9.
 SIGNATURE_SHARE = 0.5
-#: A bucket whose members still lie in more components than this is split by a second band.
+#: A bucket with more pairs across components than so many times its members is split.
 WIDE = 64
+#: So often each bucket names a member that is compared with all others.
+HUB_ROUNDS = 2
 
 _A, _B = T.odd(1, ROWS * BANDS, np.uint32), T.odd(2, ROWS * BANDS, np.uint32)
 _MIX = T.odd(3, WIDTH, np.uint64)
@@ -164,6 +166,10 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def _rooted(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    return crowd.join(roots, "id", "left").select("band", "id", "weight", F.coalesce("root", "id").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -171,10 +177,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     have 100 * intersection >= percent * union.  Texts with the same words form a class, of
     which the smallest id stands for all, so exact copies never meet in a bucket.  Class
     representatives are banded by 128 universal minima (32 bands of 4).  In each bucket
-    every member is compared with the smallest; what verifies is joined to components.
-    Buckets whose members are then still apart compare the members of different
-    components, after a second band has split those that stay wide; a bucket of copies
-    is one component by then, so its pairs are never listed.  Candidates are compared by
+    every member is compared with the one that shares most bands with others; what verifies
+    is joined to components, and those outside its component name a second one.  Buckets
+    whose members are then still apart compare the members of different components, after a
+    second band has split those that stay wide; a bucket of copies is one component by
+    then, so its pairs are never listed.  Candidates are compared by
     signature and confirmed on their full sets.
 
     Null or wordless texts have no shingles and stay alone; with fewer than five words the
@@ -193,8 +200,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketch = scratch.keep(once(semi(all_sketches, heads.select("id"))), "sketch")
 
     banded = sketch.select("id", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    crowd = scratch.keep(banded.join(least, "band").select("band", "id", "hub"), "crowd")
+    least = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = scratch.keep(banded.join(least, "band"), "crowd")
+    # In a group of variants of one text, the original shares most bands with the others; a
+    # document's weight is the size of its buckets, and the heaviest member is compared with all.
+    weight = scratch.keep(crowd.groupBy("id").agg(F.sum("n").alias("weight")), "weight")
+    crowd = scratch.keep(crowd.select("band", "id").join(weight, "id"), "weighed")
+    heaviest = lambda c: F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias(c)
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         sig = sketch.select("id", "sig")
@@ -212,25 +224,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         scratch.drop(f"near-{tag}", f"wanted-{tag}", f"sets-{tag}")
         return held
 
-    first = crowd.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(first, "hub")
-    roots = components(links, scratch, "hub")
-    # Buckets that still hold more than one component.
-    marked = crowd.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    apart = marked.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    open_ = scratch.keep(marked.join(apart.select("band", "n"), "band"), "open")
-    narrow = open_.where(F.col("n") <= WIDE).select("band", F.lit(0).cast("bigint").alias("second"), "id", "root")
-    wide = (
-        open_.where(F.col("n") > WIDE)
-        .join(sketch.select("id", "bands"), "id")
-        .select("band", F.explode("bands").alias("second"), "id", "root")
-        .where("second <> band")
-    )
-    split = narrow.union(wide)
-    left, right = split.toDF("band", "second", "a", "ra"), split.toDF("band", "second", "b", "rb")
-    cross = left.join(right, ["band", "second"]).where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = scratch.keep(cross.join(first, ["a", "b"], "left_anti"), "cross")
-    more = verified(cross, "cross")
+    compared = links = None
+    for turn in range(HUB_ROUNDS):
+        # Members that are still in another component than an earlier hub name the next one.
+        if turn == 0:
+            free, rest = crowd, crowd.withColumn("root", F.col("id"))
+        else:
+            rest = scratch.keep(_rooted(crowd, roots), f"rooted{turn}")
+            free = rest.join(hubs, "band").where("root <> hub_root").select("band", "id", "weight")
+        named = free.groupBy("band").agg(heaviest("top")).select("band", (-F.col("top.minus")).alias("hub"))
+        pairs = rest.join(named, "band")
+        if turn:
+            own = rest.select(F.col("band").alias("b"), F.col("id").alias("hub"), F.col("root").alias("named_root"))
+            pairs = pairs.withColumnRenamed("band", "b").join(own, ["b", "hub"]).where("root <> named_root")
+        pairs = pairs.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, f"pairs{turn}")
+        compared = pairs if compared is None else compared.union(pairs)
+        found = verified(pairs, f"hub{turn}")
+        links = found if links is None else links.union(found)
+        roots = components(links, scratch, f"hub{turn}-")
+        hubs = named.join(roots, F.col("hub") == F.col("id"), "left").select("band", F.coalesce("root", "hub").alias("hub_root"))
+    # Buckets that still hold more than one component: pairs across components.
+    marked = _rooted(crowd, roots)
+    sizes = marked.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")).where("k > 1")
+    open_ = marked.join(sizes.select("band", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > WIDE * F.col("n")).alias("wide")), "band")
+    open_ = scratch.keep(open_, "open")
+    narrow = open_.where("not wide").select("band", "id", "root")
+    # Two members of wide buckets that are alike meet in more than one band: split each by a second.
+    bands = open_.where("wide").groupBy("id", "root").agg(F.array_sort(F.collect_list("band")).alias("bands"))
+    both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(x, y))))
+    split = narrow.union(bands.select(F.explode(both).alias("band"), "id", "root"))
+    left, right = split.toDF("band", "a", "ra"), split.toDF("band", "b", "rb")
+    cross = left.join(right, "band").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = verified(scratch.keep(cross.join(compared, ["a", "b"], "left_anti"), "cross"), "cross")
     roots = components(links.union(more), scratch, "all")
 
     classes = heads.join(roots, "id", "left").join(sketch.select("id", "n_shingles"), "id").select("digest", "n_shingles", F.coalesce("root", "id").alias("component_id"))
