@@ -20,8 +20,6 @@ ROWS, BANDS = 4, 32
 SIGNATURE_SHARE = 0.5
 #: A bucket with more pairs across components than so many times its members is split.
 WIDE = 64
-#: So often each bucket names a member that is compared with all others.
-HUB_ROUNDS = 2
 
 _A, _B = T.odd(1, ROWS * BANDS, np.uint32), T.odd(2, ROWS * BANDS, np.uint32)
 _MIX = T.odd(3, WIDTH, np.uint64)
@@ -166,8 +164,55 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _rooted(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    return crowd.join(roots, "id", "left").select("band", "id", "weight", F.coalesce("root", "id").alias("root"))
+def _residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, id, root, n, own (shingles that the hub has too) and the others."""
+    for batch in batches:
+        n, own, rest = [], [], []
+        for x, h in zip(batch.column(3), batch.column(4), strict=True):
+            x, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
+            other = np.setdiff1d(x, h, assume_unique=True)
+            n.append(len(x))
+            own.append(len(x) - len(other))
+            rest.append(other.view(np.int64))
+        made = [pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], names=["hub", "id", "root", "n", "own", "rest"])
+
+
+def _beside_hub(members: DataFrame, sets_of, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): all pairs of a wide bucket's members in different components that can be links.
+
+    Both have been compared with the bucket's hub, so what each shares with it is known.
+    A link needs an intersection of k = p (|a| + |b|) with p = percent / (100 + percent).
+    Pairs that share a shingle which the hub lacks are found by an equi-join on those
+    shingles.  Pairs that share none lie within the hub's set, so both must share k with
+    it; if one is not linked to the hub, the other is then smaller than the hub, and
+    members of equal size drop out.  No link is lost, and a cloud of variants around one
+    text, most of whose changes are their own, has few pairs.
+    """
+    ids = members.select("id").union(members.select(F.col("hub").alias("id"))).distinct()
+    sets = sets_of(scratch.keep(ids, "wide-ids"), "wide")
+    rows = members.join(sets, "id").join(sets.toDF("hub", "hub_shingles"), "hub").select("hub", "id", "root", "shingles", "hub_shingles")
+    rows = rows.mapInArrow(_residues, "hub bigint, id bigint, root bigint, n bigint, own bigint, rest array<bigint>")
+    rows = scratch.keep(rows, "residues")
+    each = rows.select("hub", "id", "root", F.explode("rest").alias("shingle"))
+    shared = each.groupBy("hub", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "shingle")
+    each = each.join(shared, ["hub", "shingle"])
+    left, right = each.toDF("hub", "shingle", "a", "ra"), each.toDF("hub", "shingle", "b", "rb")
+    found = left.join(right, ["hub", "shingle"]).where("ra < rb").select("a", "b")
+    # Inside the hub's set: (100 + percent) * own >= percent * (|a| + |b|) for both.
+    reach = F.floor(((100 + percent) * F.col("own") - percent * F.col("n")) / percent)
+    sized = rows.select("hub", "id", "root", "n", reach.alias("reach"))
+    least = sized.groupBy("hub").agg(F.min("n").alias("least"))
+    sized = sized.join(least, "hub").where("reach >= least").drop("least")
+    hub_root = rows.where("id = hub").select("hub", F.col("root").alias("hub_root"))
+    far = sized.join(hub_root, "hub").where("root <> hub_root").drop("hub_root")
+    x, y = far.toDF("hub", "a", "ra", "na", "reach_a"), sized.toDF("hub", "b", "rb", "nb", "reach_b")
+    # Sizes of partners differ by less than a third, so their classes are equal or next to each other.
+    size_class = lambda n: F.floor(F.ln(n.cast("double")) / F.ln(F.lit(100.0 / percent)))
+    x = x.withColumn("c", F.explode(F.array(*(size_class(F.col("na")) + d for d in (-1, 0, 1)))))
+    y = y.withColumn("c", size_class(F.col("nb")))
+    inside = x.join(y, (x.hub == y.hub) & (x.c == y.c) & (F.col("ra") != F.col("rb")) & (F.col("reach_a") >= F.col("nb")) & (F.col("reach_b") >= F.col("na")))
+    return found.union(inside.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -178,10 +223,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     which the smallest id stands for all, so exact copies never meet in a bucket.  Class
     representatives are banded by 128 universal minima (32 bands of 4).  In each bucket
     every member is compared with the one that shares most bands with others; what verifies
-    is joined to components, and those outside its component name a second one.  Buckets
-    whose members are then still apart compare the members of different components, after a
-    second band has split those that stay wide; a bucket of copies is one component by
-    then, so its pairs are never listed.  Candidates are compared by
+    is joined to components.  Buckets whose members are then still apart compare the
+    members of different components; in wide ones only the pairs that can be links by what
+    both share with that member.  A bucket of copies is one component by then, so its
+    pairs are never listed.  Candidates are compared by
     signature and confirmed on their full sets.
 
     Null or wordless texts have no shingles and stay alone; with fewer than five words the
@@ -208,6 +253,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowd = scratch.keep(crowd.select("band", "id").join(weight, "id"), "weighed")
     heaviest = lambda c: F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias(c)
 
+    def sets_of(ids: DataFrame, tag: str) -> DataFrame:
+        texts = semi(docs.select(F.col("doc_id").alias("id"), "text"), ids)
+        return scratch.keep(once(texts.mapInArrow(_sets, "id bigint, shingles binary")), f"sets-{tag}")
+
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         sig = sketch.select("id", "sig")
         near = (
@@ -215,8 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         )
         near = scratch.keep(near, f"near-{tag}")
         wanted = scratch.keep(near.select("a").union(near.select("b")).toDF("id").distinct(), f"wanted-{tag}")
-        texts = semi(docs.select(F.col("doc_id").alias("id"), "text"), wanted)
-        sets = scratch.keep(once(texts.mapInArrow(_sets, "id bigint, shingles binary")), f"sets-{tag}")
+        sets = sets_of(wanted, tag)
         held = (
             near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a bigint, b bigint")
         )
@@ -224,41 +272,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         scratch.drop(f"near-{tag}", f"wanted-{tag}", f"sets-{tag}")
         return held
 
-    compared = links = None
-    for turn in range(HUB_ROUNDS):
-        # Members that are still in another component than an earlier hub name the next one.
-        if turn == 0:
-            free, rest = crowd, crowd.withColumn("root", F.col("id"))
-        else:
-            rest = scratch.keep(_rooted(crowd, roots), f"rooted{turn}")
-            free = rest.join(hubs, "band").where("root <> hub_root").select("band", "id", "weight")
-        named = free.groupBy("band").agg(heaviest("top")).select("band", (-F.col("top.minus")).alias("hub"))
-        pairs = rest.join(named, "band")
-        if turn:
-            own = rest.select(F.col("band").alias("b"), F.col("id").alias("hub"), F.col("root").alias("named_root"))
-            pairs = pairs.withColumnRenamed("band", "b").join(own, ["b", "hub"]).where("root <> named_root")
-        pairs = pairs.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs{turn}")
-        compared = pairs if compared is None else compared.union(pairs)
-        found = verified(pairs, f"hub{turn}")
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch, f"hub{turn}-")
-        hubs = named.join(roots, F.col("hub") == F.col("id"), "left").select("band", F.coalesce("root", "hub").alias("hub_root"))
+    named = crowd.groupBy("band").agg(heaviest("top")).select("band", (-F.col("top.minus")).alias("hub"))
+    crowd = scratch.keep(crowd.join(named, "band").select("band", "id", "hub"), "named")
+    pairs = crowd.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    compared = scratch.keep(pairs, "compared")
+    links = verified(compared, "hub")
+    roots = components(links, scratch, "hub")
     # Buckets that still hold more than one component: pairs across components.
-    marked = _rooted(crowd, roots)
+    marked = crowd.join(roots, "id", "left").select("band", "id", "hub", F.coalesce("root", "id").alias("root"))
     sizes = marked.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
     sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")).where("k > 1")
     open_ = marked.join(sizes.select("band", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > WIDE * F.col("n")).alias("wide")), "band")
     open_ = scratch.keep(open_, "open")
     narrow = open_.where("not wide").select("band", "id", "root")
-    # Two members of wide buckets that are alike meet in more than one band: split each by a second.
-    bands = open_.where("wide").groupBy("id", "root").agg(F.array_sort(F.collect_list("band")).alias("bands"))
-    both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(x, y))))
-    split = narrow.union(bands.select(F.explode(both).alias("band"), "id", "root"))
-    left, right = split.toDF("band", "a", "ra"), split.toDF("band", "b", "rb")
-    cross = left.join(right, "band").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = narrow.toDF("band", "a", "ra"), narrow.toDF("band", "b", "rb")
+    cross = left.join(right, "band").where("ra < rb").select("a", "b")
+    cross = cross.union(_beside_hub(open_.where("wide").select("hub", "id", "root").distinct(), sets_of, scratch, percent))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(scratch.keep(cross.join(compared, ["a", "b"], "left_anti"), "cross"), "cross")
     roots = components(links.union(more), scratch, "all")
 
