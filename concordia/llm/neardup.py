@@ -183,8 +183,8 @@ def _beside_hub(members: DataFrame, sets_of, scratch: Scratch, percent: int) ->
 
     Both have been compared with the bucket's hub, so what each shares with it is known.
     A link needs an intersection of k = p (|a| + |b|) with p = percent / (100 + percent).
-    Pairs that share a shingle which the hub lacks are found by an equi-join on those
-    shingles.  Pairs that share none lie within the hub's set, so both must share k with
+    Pairs that share shingles which the hub lacks are found by an equi-join on those
+    shingles, as many as k leaves.  Pairs that share none lie within the hub's set, so both must share k with
     it; if one is not linked to the hub, the other is then smaller than the hub, and
     members of equal size drop out.  No link is lost, and a cloud of variants around one
     text, most of whose changes are their own, has few pairs.
@@ -194,15 +194,25 @@ def _beside_hub(members: DataFrame, sets_of, scratch: Scratch, percent: int) ->
     rows = members.join(sets, "id").join(sets.toDF("hub", "hub_shingles"), "hub").select("hub", "id", "root", "shingles", "hub_shingles")
     rows = rows.mapInArrow(_residues, "hub bigint, id bigint, root bigint, n bigint, own bigint, rest array<bigint>")
     rows = scratch.keep(rows, "residues")
-    each = rows.select("hub", "id", "root", F.explode("rest").alias("shingle"))
+    # Of the k shingles of a link at least need(a, b) lie outside the hub's set, and a's first
+    # |rest| - need + 1 of them in the order of their hashes meet b's.
+    least = rows.groupBy("hub").agg(F.min("n").alias("least"))
+    share = lambda n: F.ceil(percent * n / (100 + percent))
+    need = share(F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) - F.col("own")
+    each = rows.join(least, "hub").withColumn("m", F.size("rest").cast("bigint")).withColumn("need", F.greatest(need, F.lit(1)))
+    first = F.slice("rest", F.lit(1), (F.col("m") - F.col("need") + 1).cast("int"))
+    each = each.where("m >= need").select("hub", "id", "root", "n", "own", "m", F.posexplode(first).alias("place", "shingle"))
+    each = each.select("hub", "shingle", "id", "root", "n", "own", (F.col("m") - F.col("place")).alias("left"))
     shared = each.groupBy("hub", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "shingle")
     each = each.join(shared, ["hub", "shingle"])
-    left, right = each.toDF("hub", "shingle", "a", "ra"), each.toDF("hub", "shingle", "b", "rb")
-    found = left.join(right, ["hub", "shingle"]).where("ra < rb").select("a", "b")
+    left = each.toDF("hub", "shingle", "a", "ra", "na", "oa", "la")
+    right = each.toDF("hub", "shingle", "b", "rb", "nb", "ob", "lb")
+    # At the first shingle that both have, enough must be left from there on.
+    enough = share(F.col("na") + F.col("nb")) - F.least("oa", "ob") <= F.least("la", "lb")
+    found = left.join(right, (left.hub == right.hub) & (left.shingle == right.shingle) & (F.col("ra") < F.col("rb")) & enough).select("a", "b")
     # Inside the hub's set: (100 + percent) * own >= percent * (|a| + |b|) for both.
     reach = F.floor(((100 + percent) * F.col("own") - percent * F.col("n")) / percent)
     sized = rows.select("hub", "id", "root", "n", reach.alias("reach"))
-    least = sized.groupBy("hub").agg(F.min("n").alias("least"))
     sized = sized.join(least, "hub").where("reach >= least").drop("least")
     hub_root = rows.where("id = hub").select("hub", F.col("root").alias("hub_root"))
     far = sized.join(hub_root, "hub").where("root <> hub_root").drop("hub_root")

@@ -12,7 +12,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 # The executors' tasks are the parallelism; threads of the library would only add to them.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,8 +23,8 @@ from tokenizers import Tokenizer  # noqa: E402
 _UNCUT = r"[^\x20-\x7e\n\x{a1}-\x{24f}]|[ \n][ \n]([ \n]|\z)"
 #: Pieces remembered by a worker in each of two generations, about 200 bytes each.
 MEMORY = 600_000
-#: A word and the marks after it, which the pre-tokenizer always parts (but for apostrophes).
-_MARKED = regex.compile(r"(.*\p{L})([^\p{L}\p{N}\s']+)", regex.DOTALL).fullmatch
+#: Marks that the pre-tokenizer always parts from a letter before them.
+_MARKS = ".,;:!?#$%&*()[]{}<>|/\\\"`~@^_+=-"
 #: Marks the start of a text; never in a text that is cut.
 _START = "\x01"
 #: Starts pieces that stand right after another one.
@@ -74,7 +73,7 @@ class Encoder:
         plain: list[str] = []
         parts: list[tuple[str, bytes, str, str]] = []
         for p in new:
-            if p in older:
+            if older and p in older:
                 known[p] = older[p]
             elif p[-1:].isalpha() and p[0] != "\n":
                 plain.append(p)
@@ -84,8 +83,9 @@ class Encoder:
                 line, word, marks = b"", p, ""
                 if p[0] == "\n":
                     line, word = self.line, _START + p[1:]
-                if not p[-1].isalpha() and (m := _MARKED(word)):
-                    word, marks = m[1], _MARK + m[2]
+                bare = word.rstrip(_MARKS)
+                if bare is not word and bare[-1:].isalpha():
+                    word, marks = bare, _MARK + word[len(bare) :]
                 parts.append((p, line, word, marks))
         need = {w for _, _, word, marks in parts for w in (word, marks)}
         need.discard("")
