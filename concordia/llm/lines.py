@@ -18,27 +18,35 @@ CONSTANT_TENTHS = 6
 #: Keys of eight or sixteen bytes that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_GAP = "[ \\t\\r\\f\\x0B]"
-_NOT_GAP = "[^ \\t\\r\\f\\x0B]"
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
-def masked(line):
-    """Tokens with a digit become <*>; gaps become one blank."""
-    even = F.trim(F.regexp_replace(line, f"{_GAP}+", " "))
-    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(even)
+def _even(text):
+    """text with one blank for each gap inside a line and none at its ends.
+
+    Plain searches tell which texts need it, so regular ones are not matched at all.
+    """
+    odd = text.startswith(" ") | text.endswith(" ")
+    for part in ("  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | text.contains(part)
+    gaps = F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " ")
+    return F.when(odd, F.trim(F.regexp_replace(gaps, " ?\n ?", "\n"))).otherwise(text)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, masked, leaf, line_hash of all lines with enough tokens; tokens with a digit are <*>."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("text is not null")
-    rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "text_hash", "line_no", masked("line").alias("masked"))
-    rows = rows.withColumn("tokens", F.split("masked", " ")).where(F.size("tokens") >= MIN_TOKENS)
-    lead = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), *lead)).withColumn("line_hash", F.xxhash64("masked"))
+    rows = rows.select("doc_id", "text_hash", _even(F.col("text")).alias("even"))
+    rows = rows.withColumn("digits", F.col("even").rlike("[0-9]"))
+    rows = rows.select("doc_id", "text_hash", "digits", F.posexplode(F.split("even", "\n")).alias("line_no", "line"))
+    variable = F.regexp_replace("line", "[^ ]*[0-9][^ ]*", "<*>")
+    masked = F.when(F.col("digits") & F.col("line").rlike("[0-9]"), variable).otherwise(F.col("line"))
+    rows = rows.select("doc_id", "text_hash", "line_no", masked.alias("masked"))
+    count = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumn("n_tokens", count).where(F.col("n_tokens") >= MIN_TOKENS)
+    lead = F.substring_index("masked", " ", DEPTH)
+    return rows.withColumn("leaf", F.xxhash64("n_tokens", lead)).withColumn("line_hash", F.xxhash64("masked"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
