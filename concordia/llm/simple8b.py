@@ -35,6 +35,8 @@ BLOCK = 240
 _PAD = 60
 SEGMENT_IDS = 1 << 20
 _MAGIC = b"S8B1"
+#: Selectors for more than four ids are tried while they fit at one of so many places.
+SELDOM = 200
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,27 +73,30 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     for s in range(14, -1, -1):
         k = int(COUNTS[s])
         fits = window(k)[:, :BLOCK] <= min((1 << int(BITS[s])) - 1, np.iinfo(kind).max)
-        if not fits.any():
-            break  # then no longer window fits fewer bits
+        if np.count_nonzero(fits) * SELDOM <= fits.size * (s < 12):
+            break  # longer windows of fewer bits fit even less often
         np.copyto(best[:, : fits.shape[1]], np.uint8(s), where=fits)
     ends = np.full(n_blocks, BLOCK)
     if n_blocks:
         ends[-1] = n - BLOCK * (n_blocks - 1)
     at, live, step = np.zeros(n_blocks, np.int64), np.arange(n_blocks), 0
-    rows, starts, order = [], [], []
+    rows, starts, steps = [], [], []
     while len(live):
         rows.append(live)
         starts.append(at[live])
-        order.append(np.full(len(live), step))
+        steps.append(np.full(len(live), step))
         at[live] += COUNTS[best[live, at[live]]]
         live = live[at[live] < ends[live]]
         step += 1
     if not rows:
         empty = np.empty(0, np.uint64)
         return empty, empty, empty, empty
-    row, start, order = map(np.concatenate, (rows, starts, order))
-    place = np.lexsort((order, row))
-    row, start = row[place], start[place]
+    row, start, order = map(np.concatenate, (rows, starts, steps))
+    # The j-th word of a block comes j places after the block's first.
+    held = np.bincount(row, minlength=n_blocks)
+    offsets = np.cumsum(held) - held
+    place = offsets[row] + order
+    row[place], start[place] = row.copy(), start.copy()
     sel = best[row, start]
     words = sel.astype(np.uint64) << np.uint64(60)
     cells, at = grid.ravel(), row * wide + start
@@ -103,28 +108,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         for k in range(int(COUNTS[s])):
             own |= cells[first + k].astype(np.uint64) << np.uint64(k * int(BITS[s]))
         words[of] = own
-    offsets = np.searchsorted(row, np.arange(n_blocks)).astype(np.uint64)
-    return words, offsets, places.astype(np.uint64), values
+    return words, offsets.astype(np.uint64), places.astype(np.uint64), values
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The ids that pack() took, all blocks at once."""
-    out = np.zeros(n, np.uint64)
+    n_blocks, wide = len(offsets), BLOCK + COUNTS[0]
+    # Words may reach over the end of their block, into cells that are left out.
+    out = np.zeros(n_blocks * wide, np.uint64)
     sel = (words >> np.uint64(60)).astype(np.int64)
     count = COUNTS[sel]
-    block = np.searchsorted(offsets, np.arange(len(words), dtype=np.uint64), side="right") - 1
+    first = offsets.astype(np.int64)
+    block = np.repeat(np.arange(n_blocks), np.diff(np.append(first, len(words))))
     before = np.cumsum(count) - count
-    start = before - before[offsets.astype(np.int64)][block] + block * BLOCK
-    end = np.minimum((block + 1) * BLOCK, n)
+    start = before - before[first][block] + block * wide
     for s in np.unique(sel):
         if not BITS[s]:
             continue
         of = np.flatnonzero(sel == s)
-        mask = np.uint64((1 << int(BITS[s])) - 1)
+        mask, own, at = np.uint64((1 << int(BITS[s])) - 1), words[of], start[of]
         for k in range(int(COUNTS[s])):
-            at = start[of] + k
-            ok = at < end[of]
-            out[at[ok]] = (words[of[ok]] >> np.uint64(k * int(BITS[s]))) & mask
+            out[at + k] = (own >> np.uint64(k * int(BITS[s]))) & mask
+    out = out.reshape(n_blocks, wide)[:, :BLOCK].ravel()[:n]
     out[places.astype(np.int64)] = values
     return out
 
@@ -200,7 +205,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, n_fil
     file = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id"))))
     rows = rows.repartitionById(n_files, file.cast("int")).sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(run, "file int, segment int, n_docs bigint, n_ids bigint, payload binary")
-    made.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    made.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
