@@ -21,8 +21,9 @@ ROUND_ROWS = 1_000_000
 
 
 class Packer:
-    """Sum-of-squares packing: N[g] open bins have a gap of g; a piece goes where the sum of
-    N[g]^2 becomes smallest, into an open bin or a new one; ties go to the smallest gap left."""
+    """Sum-of-squares packing: N[g] open bins have a gap of g; a piece goes into the open bin
+    after which the sum of N[g]^2 is smallest, ties to the smallest gap left.  A bin is
+    opened only for a piece that fits none: as all pieces are known, a bin less counts more."""
 
     def __init__(self, size: int):
         self.size = size
@@ -36,10 +37,10 @@ class Packer:
         change = count[: size - length + 1] - count[length:] + 1.0
         change[0] = 0.5 - count[length]
         change[count[length:] == 0] = np.inf
-        change[size - length] = count[size - length] + 0.5 if length < size else 0
         left = int(change.argmin())
         gap = left + length
-        if left == size - length:
+        if change[left] == np.inf:
+            left = size - length
             self.bins.append([item])
             at = len(self.bins) - 1
         else:
