@@ -276,3 +276,28 @@ def alert_summary(found: DataFrame) -> DataFrame:
 def health(found: DataFrame) -> DataFrame:
     """health: 100 less the mean severity as a share of the worst."""
     return found.agg((100 - F.coalesce(F.sum(_case(SEVERITY_RANK, F.col("severity"))) / (F.count("*") * 4) * 100, F.lit(0.0))).alias("health"))
+
+
+# --- cheap checks first, and how well detectors do -----------------------------
+
+
+def quick_findings(pairs: DataFrame) -> DataFrame:
+    """column, reason where fingerprints alone tell: another type, ten times the cardinality, nulls moved by half.
+
+    pairs has column and old_/new_ dtype, cardinality and null_ratio.  Only the columns left over
+    need the tests that read values.
+    """
+    x, y = F.col("old_cardinality"), F.col("new_cardinality")
+    reason = (
+        F.when(F.col("old_dtype") != F.col("new_dtype"), "dtype")
+        .when(F.greatest(x, y) > 10 * F.greatest(F.least(x, y), F.lit(1)), "cardinality")
+        .when(F.abs(F.col("old_null_ratio") - F.col("new_null_ratio")) > 0.5, "nulls")
+    )
+    return pairs.select("column", reason.alias("reason")).where("reason is not null")
+
+
+def detection_rates(results: DataFrame) -> DataFrame:
+    """true_positive_rate and false_positive_rate of (drifted boolean, found boolean)."""
+    rate = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of))
+    d, f = F.col("drifted"), F.col("found")
+    return results.agg(rate(d & f, d).alias("true_positive_rate"), rate(~d & f, ~d).alias("false_positive_rate"))

@@ -157,3 +157,22 @@ def schema_overlap(left: DataFrame, right: DataFrame) -> dict:
         "mismatched": [(c, a[c], b[c]) for c in common if a[c] != b[c]],
         "score": len(common) / max(len(a), len(b), 1),
     }
+
+
+def validation_scores(issues: DataFrame) -> DataFrame:
+    """file, errors, warnings, score: 100 less 20 an error and 5 a warning (file, level)."""
+    errors, warnings = F.count_if(F.col("level") == "error"), F.count_if(F.col("level") == "warning")
+    rows = issues.groupBy("file").agg(errors.alias("errors"), warnings.alias("warnings"))
+    return rows.withColumn("score", F.greatest(F.lit(0), 100 - 20 * F.col("errors") - 5 * F.col("warnings")))
+
+
+def coverage(files: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """files, analyzed, percent, status: 'pass' from 80 percent, 'warn' from 50 (path on both sides)."""
+    marked = files.select("path").distinct().join(analyzed.select("path").distinct().withColumn("seen", F.lit(1)), "path", "left")
+    out = marked.agg(F.count("*").alias("files"), F.count("seen").alias("analyzed")).withColumn("percent", F.try_divide(F.col("analyzed") * 100.0, F.col("files")))
+    return out.withColumn("status", F.when(F.col("percent") >= 80, "pass").when(F.col("percent") >= 50, "warn").otherwise("fail"))
+
+
+def top_types(log: DataFrame, n: int = 10) -> DataFrame:
+    """semantic_type, runs: the n most frequent types of a log."""
+    return log.groupBy("semantic_type").agg(F.count("*").alias("runs")).orderBy(F.col("runs").desc(), "semantic_type").limit(n)

@@ -135,3 +135,25 @@ def fx_as_of(df: DataFrame, ts: str, amount: str, source: str, target: str, rate
     age = (F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.col("rate_ts").cast("timestamp"))) / 86400e6
     stale = F.coalesce(age > max_age_days, F.lit(False)) if max_age_days is not None else F.lit(False)
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), rate.alias("rate"), "rate_ts", stale.alias("stale"), (F.col(f"`{amount}`") * rate).alias("converted"))
+
+
+#: Where a rate may come from: the table only, the table and then the fallback, or the fallback where a rate is stale.
+MODES = ("strict", "table_first", "fresh")
+
+
+def fx_convert(df: DataFrame, ts: str, amount: str, source: str, target: str, rates: DataFrame, mode: str = "table_first", max_age_days: float = 1.0) -> DataFrame:
+    """fx_as_of() with rate_source ('table', 'fallback' or null) and confidence, filled by the mode.
+
+    A fresh rate of the table counts 0.95, a stale one 0.7, a fallback 0.5.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    found = fx_as_of(df, ts, amount, source, target, with_inverses(rates), max_age_days)
+    pairs = {f"{a}_{b}": r for (a, b), r in FALLBACK_RATES.items()} | {f"{b}_{a}": 1 / r for (a, b), r in FALLBACK_RATES.items()}
+    spare = F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), F.concat_ws("_", F.col(f"`{source}`"), F.col(f"`{target}`")))
+    lacking = F.col("rate").isNull() if mode != "fresh" else F.col("rate").isNull() | F.col("stale")
+    use = lacking & spare.isNotNull() if mode != "strict" else F.lit(False)
+    rate = F.when(use, spare).otherwise(F.col("rate"))
+    origin = F.when(use, "fallback").when(F.col("rate").isNotNull(), "table")
+    sure = F.when(use, 0.5).when(F.col("rate").isNull(), 0.0).when(F.col("stale"), 0.7).otherwise(0.95)
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), rate.alias("rate"), origin.alias("rate_source"), sure.alias("confidence"), "stale", (F.col(f"`{amount}`") * rate).alias("converted"))

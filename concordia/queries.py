@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,6 +14,7 @@ from concordia.functions import entities, keys, similarity
 from concordia.operators import anchors, drift, evidence, history, inference, patterns, profile, registry, relational, temporal, units, vectors
 from concordia.operators import confidence as conf
 from concordia.operators.semantic_join import META, Keys, fuzzy_pairs, match_statistics, semantic_join
+from concordia.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,6 +680,18 @@ def fx_as_of(spark: SparkSession, d: str) -> DataFrame:
     return units.fx_as_of(o, "o_orderdate", "o_totalprice", "src", "dst", rates).select("o_orderkey", "rate", F.round("converted", 4).alias("converted"))
 
 
+@query(f"""WITH r(t, rate, ts) AS (VALUES {', '.join(f"('{b}', {r}::DOUBLE, TIMESTAMP '{ts}')" for _, b, r, ts in _RATES)}),
+o AS (SELECT o_orderkey, o_totalprice, o_orderdate, ['EUR', 'JPY', 'GBP'][o_orderkey % 3 + 1] AS c FROM orders),
+j AS (SELECT o.*, r.rate FROM o ASOF LEFT JOIN r ON o.c = r.t AND o.o_orderdate >= r.ts)
+SELECT o_orderkey, CASE WHEN rate IS NOT NULL THEN 'table' ELSE 'fallback' END AS rate_source,
+round(o_totalprice * coalesce(rate, CASE c WHEN 'EUR' THEN 0.85 WHEN 'JPY' THEN 110 ELSE 0.75 END), 4) AS converted FROM j""")
+def fx_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rates = spark.createDataFrame(_RATES, "from_ccy string, to_ccy string, rate double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    pick = F.element_at(F.array(*map(F.lit, ("EUR", "JPY", "GBP"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", F.lit("USD").alias("src"), pick.alias("dst"))
+    return units.fx_convert(o, "o_orderdate", "o_totalprice", "src", "dst", rates).select("o_orderkey", "rate_source", F.round("converted", 4).alias("converted"))
+
+
 # --- evidence ---------------------------------------------------------------
 
 _TYPES = {"signup": "human_approval", "error": "human_rejection", "click": "statistical_match", "view": "schema_consistency", "purchase": "cross_validation"}
@@ -779,3 +794,38 @@ def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
 def pq_codes(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
     return vectors.pq_encode(e, vectors.pq_train(e, centroids=32))
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = _t(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """The last complete result of a stream over what is there, by way of the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="concordia-stream-")
+        spark.sparkContext.setCheckpointDir(root)
+    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY ALL""")
+def stream_window_profile(spark: SparkSession, d: str) -> DataFrame:
+    out = flows.window_profile(_stream(spark, d), "ts", "value", ["event_type"], width="6 hours")
+    return _drained(spark, out).select("event_type", "start", "n", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+def stream_session_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = flows.session_counts(_stream(spark, d), "ts", "user_id", gap="2 hours")
+    return _drained(spark, out).select("user_id", "start", "n")

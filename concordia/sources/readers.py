@@ -115,3 +115,14 @@ def _(data: list, spark: SparkSession) -> DataFrame:
 
 def supported() -> list[str]:
     return sorted(t.__name__ for t in to_spark.registry if t is not object) + ["Arrow-convertible", "pandas", "pyarrow"]
+
+
+def diff_columns(spark: SparkSession, path: str) -> DataFrame:
+    """file, change ('added' or 'removed'), column, type: columns in DDL or ORM lines of unified diffs."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "(?m)^diff --git ")).alias("part"))
+    rows = rows.select(F.regexp_extract("part", r"(?m)^\+\+\+ b/(\S+)", 1).alias("file"), F.explode(F.split("part", "\n")).alias("line")).where("file <> ''")
+    body = F.regexp_replace("line", r"^[+-]\s*", "")
+    ddl, orm = r"(?i)^(?:add\s+column\s+)?([a-z_]\w*)\s+((?:var)?char|text|int(?:eger)?|bigint|numeric|decimal|float|double|bool(?:ean)?|date|timestamp|uuid|jsonb?)\b", r"^([A-Za-z_]\w*)\s*=\s*(?:db\.)?Column\(\s*(?:db\.)?(\w+)"
+    both = F.coalesce(*(F.when(F.regexp_extract(body, p, 1) != "", F.struct(F.regexp_extract(body, p, 1).alias("column"), F.lower(F.regexp_extract(body, p, 2)).alias("type"))) for p in (orm, ddl)))
+    change = F.when(F.col("line").rlike(r"^\+(?!\+\+)"), "added").when(F.col("line").rlike("^-(?!--)"), "removed")
+    return rows.select("file", change.alias("change"), both.alias("c")).where("change is not null and c is not null").select("file", "change", "c.column", "c.type")

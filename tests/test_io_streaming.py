@@ -81,3 +81,9 @@ def test_drift_of_batches(spark, stream, tmp_path):
     q = stream.writeStream.foreachBatch(flows.drift_sink(base, "v", lambda df, n: seen.extend(df.collect()))).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen[0].statistic == 1.0
+
+
+def test_diff(spark, tmp_path):
+    (tmp_path / "a.diff").write_text("diff --git a/m.sql b/m.sql\n--- a/m.sql\n+++ b/m.sql\n+  ADD COLUMN user_email varchar(20)\n-  old_price numeric\n+    title = Column(String)\n")
+    got = {(r.change, r.column, r.type) for r in readers.diff_columns(spark, f"file://{tmp_path}/a.diff").collect()}
+    assert got == {("added", "user_email", "varchar"), ("removed", "old_price", "numeric"), ("added", "title", "string")}

@@ -348,3 +348,33 @@ def test_vectors(spark):
     assert vectors.pq_ratio(128, 8) == 64
     hits = sum(got[r.query_id, 1] == r.neighbour_id for r in vectors.lsh_knn(df.where("vec_id < 3"), df, 4, tables=24, bits=4).where("rank = 1").collect())
     assert hits >= 2
+
+
+def test_quick_findings_and_rates(spark):
+    p = spark.createDataFrame([("a", "int64", "string", 5, 5, 0.0, 0.0), ("b", "int64", "int64", 5, 500, 0.0, 0.0), ("c", "x", "x", 5, 5, 0.0, 0.9), ("d", "x", "x", 5, 6, 0.0, 0.1)], "column string, old_dtype string, new_dtype string, old_cardinality bigint, new_cardinality bigint, old_null_ratio double, new_null_ratio double")
+    assert {r.column: r.reason for r in drift.quick_findings(p).collect()} == {"a": "dtype", "b": "cardinality", "c": "nulls"}
+    rates = drift.detection_rates(spark.createDataFrame([(True, True), (True, False), (False, False)], "drifted boolean, found boolean")).first()
+    assert (rates.true_positive_rate, rates.false_positive_rate) == (0.5, 0.0)
+
+
+def test_scores_and_coverage(spark):
+    from concordia.operators import profile
+
+    issues = spark.createDataFrame([("a", "error"), ("a", "warning"), ("b", "warning")], "file string, level string")
+    assert {r.file: r.score for r in profile.validation_scores(issues).collect()} == {"a": 75, "b": 95}
+    files = spark.createDataFrame([("x",), ("y",)], "path string")
+    assert profile.coverage(files, files.limit(1)).first().status == "warn"
+    quality = profile.frame_quality(spark.createDataFrame([("a@b.c", None), ("bad", None), ("bad", None)], "email string, gap string")).first()
+    assert quality.score == pytest.approx(1 - 0.3 - 0.1 - 0.2)
+    assert profile.schema_overlap(files, issues)["score"] == 0
+
+
+def test_fx_modes(spark):
+    rates = spark.createDataFrame([("USD", "EUR", 0.9, datetime(2024, 1, 1))], "from_ccy string, to_ccy string, rate double, ts timestamp")
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1, 6), 10.0, "EUR", "USD"), (2, datetime(2024, 3, 1), 10.0, "USD", "EUR"), (3, datetime(2024, 1, 2), 10.0, "USD", "GBP"), (4, datetime(2024, 1, 2), 10.0, "USD", "USD")], "id int, ts timestamp, x double, a string, b string")
+    got = {r.id: (r.rate_source, round(r.converted, 4)) for r in units.fx_convert(df, "ts", "x", "a", "b", rates, "fresh").collect()}
+    assert got == {1: ("table", 11.1111), 2: ("fallback", 8.5), 3: ("fallback", 7.5), 4: ("table", 10.0)}
+    strict = {r.id: r.rate_source for r in units.fx_convert(df, "ts", "x", "a", "b", rates, "strict").collect()}
+    assert strict[3] is None
+    with pytest.raises(ValueError, match="mode"):
+        units.fx_convert(df, "ts", "x", "a", "b", rates, "no")
