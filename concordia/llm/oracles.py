@@ -55,6 +55,15 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines
   OR capitals > small OR 10 * shouts > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM b"""
 
+OP3 = """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, 's' || source AS stratum, octet_length(encode(coalesce(text, ''))) + 8 AS size, ('0x' || substr(md5('42|' || doc_id), 1, 15))::BIGINT AS h,
+  list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+k AS (SELECT d.* EXCLUDE (bytes), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM d, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, size, crc) AS rank, count(*) OVER (PARTITION BY stratum) AS total,
+  ('0x' || substr(md5('42|phase|' || stratum), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS phase FROM k),
+g AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY (rank - 1 + phase) / total, stratum, h, doc_id, size, crc) - 1 AS g FROM r)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (g * 24 // n)::INTEGER AS shard, (g - ((g * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM g"""
+
 OP4 = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
   UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
@@ -87,6 +96,7 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 SQL: dict[str, str] = {
     "op1_chat_windows": OP1,
     "op2_quality_cascade": OP2,
+    "op3_stratified_shards": OP3,
     "op4_minhash_neardup": OP4,
     "op9_template_line_dedup": OP9,
 }
