@@ -635,12 +635,12 @@ def _filled(fill: str, expression: str) -> None:
 _filled("forward", "last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t)")
 _filled("backward", "first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _filled("zero", "coalesce(v, 0)")
-QUERIES["fill_interpolate"] = lambda spark, d: temporal.align(_t(spark, d, "events"), "ts", "value", "hour", "interpolate", ["event_type"]).select("event_type", "timestamp", F.round("value", 6).alias("value"))
+QUERIES["fill_interpolate"] = lambda spark, d: temporal.align(_t(spark, d, "events"), "ts", "value", "hour", "interpolate", ["event_type"]).select("event_type", "timestamp", F.round(F.col("value") + 1e-9, 6).alias("value"))
 SQL["fill_interpolate"] = f"""WITH {_GRID}, x AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t) AS a,
 first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z,
 count(v) OVER (PARTITION BY event_type ORDER BY t) AS run FROM w),
 y AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY t) - 1 AS k FROM x)
-SELECT event_type, t AS timestamp, round(coalesce(v, z - (z - a) * pow(0.5, k), a, z), 6) AS value FROM y"""
+SELECT event_type, t AS timestamp, round(coalesce(v, z - (z - a) * pow(0.5, k), a, z) + 1e-9, 6) AS value FROM y"""
 
 
 @query("""SELECT event_id, timezone('Asia/Tokyo', timezone('UTC', ts)) AS tokyo, timezone('America/New_York', timezone('UTC', ts)) AS new_york FROM events""")
