@@ -19,7 +19,7 @@ ROWS, BANDS = 4, 32
 #: 0.75 the share of agreeing minima is below 0.5 with a probability under 1e-9.
 SIGNATURE_SHARE = 0.5
 #: A bucket with more pairs across components than so many times its members is split.
-WIDE = 64
+WIDE = 8
 
 _A, _B = T.odd(1, ROWS * BANDS, np.uint32), T.odd(2, ROWS * BANDS, np.uint32)
 _MIX = T.odd(3, WIDTH, np.uint64)
@@ -165,56 +165,65 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
 
 
 def _residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hub, id, root, n, own (shingles that the hub has too) and the others."""
+    """hub, id, n, own (shingles that the hub has too) and the others."""
     for batch in batches:
         n, own, rest = [], [], []
-        for x, h in zip(batch.column(3), batch.column(4), strict=True):
+        for x, h in zip(batch.column(2), batch.column(3), strict=True):
             x, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
             other = np.setdiff1d(x, h, assume_unique=True)
             n.append(len(x))
             own.append(len(x) - len(other))
             rest.append(other.view(np.int64))
         made = [pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], names=["hub", "id", "root", "n", "own", "rest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["hub", "id", "n", "own", "rest"])
 
 
-def _beside_hub(members: DataFrame, sets_of, scratch: Scratch, percent: int) -> DataFrame:
-    """(a, b): all pairs of a wide bucket's members in different components that can be links.
+def _outside(residues: DataFrame, percent: int) -> DataFrame:
+    """(hub, shingle, id, n, own, left): the shingles by which members of wide buckets can meet.
 
-    Both have been compared with the bucket's hub, so what each shares with it is known.
-    A link needs an intersection of k = p (|a| + |b|) with p = percent / (100 + percent).
-    Pairs that share shingles which the hub lacks are found by an equi-join on those
-    shingles, as many as k leaves.  Pairs that share none lie within the hub's set, so both must share k with
-    it; if one is not linked to the hub, the other is then smaller than the hub, and
-    members of equal size drop out.  No link is lost, and a cloud of variants around one
-    text, most of whose changes are their own, has few pairs.
+    Both ends of a link have been compared with the bucket's hub, so what each shares with
+    it is known.  A link needs an intersection of k = p (|a| + |b|), p = percent / (100 + percent),
+    of which at least k - min(own) shingles lie outside the hub's set.  So the first
+    |rest| - need + 1 of a's outside shingles, in the order of their hashes, meet those of b.
     """
-    ids = members.select("id").union(members.select(F.col("hub").alias("id"))).distinct()
-    sets = sets_of(scratch.keep(ids, "wide-ids"), "wide")
-    rows = members.join(sets, "id").join(sets.toDF("hub", "hub_shingles"), "hub").select("hub", "id", "root", "shingles", "hub_shingles")
-    rows = rows.mapInArrow(_residues, "hub bigint, id bigint, root bigint, n bigint, own bigint, rest array<bigint>")
-    rows = scratch.keep(rows, "residues")
-    # Of the k shingles of a link at least need(a, b) lie outside the hub's set, and a's first
-    # |rest| - need + 1 of them in the order of their hashes meet b's.
-    least = rows.groupBy("hub").agg(F.min("n").alias("least"))
-    share = lambda n: F.ceil(percent * n / (100 + percent))
-    need = share(F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) - F.col("own")
-    each = rows.join(least, "hub").withColumn("m", F.size("rest").cast("bigint")).withColumn("need", F.greatest(need, F.lit(1)))
+    least = residues.groupBy("hub").agg(F.min("n").alias("least"))
+    need = _share(F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent) - F.col("own")
+    each = residues.join(least, "hub").withColumn("m", F.size("rest").cast("bigint")).withColumn("need", F.greatest(need, F.lit(1)))
     first = F.slice("rest", F.lit(1), (F.col("m") - F.col("need") + 1).cast("int"))
-    each = each.where("m >= need").select("hub", "id", "root", "n", "own", "m", F.posexplode(first).alias("place", "shingle"))
-    each = each.select("hub", "shingle", "id", "root", "n", "own", (F.col("m") - F.col("place")).alias("left"))
-    shared = each.groupBy("hub", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "shingle")
-    each = each.join(shared, ["hub", "shingle"])
+    each = each.where("m >= need").select("hub", "id", "n", "own", "m", F.posexplode(first).alias("place", "shingle"))
+    each = each.select("hub", "shingle", "id", "n", "own", (F.col("m") - F.col("place")).alias("left"))
+    shared = each.groupBy("hub", "shingle").agg(F.count("*").alias("k")).where("k > 1").select("hub", "shingle")
+    return each.join(shared, ["hub", "shingle"])
+
+
+def _share(n, percent: int):
+    """The least intersection of two sets of n elements together that makes a link."""
+    return F.ceil(percent * n / (100 + percent))
+
+
+def _beside_hub(residues: DataFrame, outside: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a wide bucket's members in different components that can be links.
+
+    Pairs that share shingles which the hub lacks meet by _outside().  Pairs that share none lie
+    within the hub's set, so both must share k with it; if one is not linked to the hub, the
+    other is then smaller than the hub, and members of equal size drop out.  No link is lost,
+    and a cloud of variants around one text, most of whose changes are their own, has few pairs.
+    """
+    rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    each = rooted(outside).select("hub", "shingle", "id", "root", "n", "own", "left")
+    mixed = each.groupBy("hub", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "shingle")
+    each = each.join(mixed, ["hub", "shingle"])
     left = each.toDF("hub", "shingle", "a", "ra", "na", "oa", "la")
     right = each.toDF("hub", "shingle", "b", "rb", "nb", "ob", "lb")
     # At the first shingle that both have, enough must be left from there on.
-    enough = share(F.col("na") + F.col("nb")) - F.least("oa", "ob") <= F.least("la", "lb")
+    enough = _share(F.col("na") + F.col("nb"), percent) - F.least("oa", "ob") <= F.least("la", "lb")
     found = left.join(right, (left.hub == right.hub) & (left.shingle == right.shingle) & (F.col("ra") < F.col("rb")) & enough).select("a", "b")
     # Inside the hub's set: (100 + percent) * own >= percent * (|a| + |b|) for both.
     reach = F.floor(((100 + percent) * F.col("own") - percent * F.col("n")) / percent)
-    sized = rows.select("hub", "id", "root", "n", reach.alias("reach"))
+    sized = rooted(residues.select("hub", "id", "n", "own")).select("hub", "id", "root", "n", reach.alias("reach"))
+    hub_root = sized.where("id = hub").select("hub", F.col("root").alias("hub_root"))
+    least = sized.groupBy("hub").agg(F.min("n").alias("least"))
     sized = sized.join(least, "hub").where("reach >= least").drop("least")
-    hub_root = rows.where("id = hub").select("hub", F.col("root").alias("hub_root"))
     far = sized.join(hub_root, "hub").where("root <> hub_root").drop("hub_root")
     x, y = far.toDF("hub", "a", "ra", "na", "reach_a"), sized.toDF("hub", "b", "rb", "nb", "reach_b")
     # Sizes of partners differ by less than a third, so their classes are equal or next to each other.
@@ -294,10 +303,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")).where("k > 1")
     open_ = marked.join(sizes.select("band", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > WIDE * F.col("n")).alias("wide")), "band")
     open_ = scratch.keep(open_, "open")
-    narrow = open_.where("not wide").select("band", "id", "root")
+    members = open_.where("wide").select("hub", "id").distinct()
+    sets = sets_of(scratch.keep(members.select("id").union(members.select(F.col("hub").alias("id"))).distinct(), "wide-ids"), "wide")
+    rows = members.join(sets, "id").join(sets.toDF("hub", "hub_shingles"), "hub").select("hub", "id", "shingles", "hub_shingles")
+    residues = scratch.keep(rows.mapInArrow(_residues, "hub bigint, id bigint, n bigint, own bigint, rest array<bigint>"), "residues")
+    outside = scratch.keep(_outside(residues, percent), "outside")
+    # Variants of each other that are far from the hub: the heaviest that has a shingle is compared
+    # with the others that have it, and joins them to a component.
+    heavy = outside.select("hub", "shingle", "id").join(weight, "id")
+    second = heavy.groupBy("hub", "shingle").agg(heaviest("top")).select("hub", "shingle", (-F.col("top.minus")).alias("named"))
+    pairs = heavy.join(second, ["hub", "shingle"]).where("id <> named").select("id", "named").distinct()
+    pairs = pairs.join(roots, "id", "left").withColumn("r", F.coalesce("root", "id")).drop("root")
+    pairs = pairs.join(roots.toDF("named", "root"), "named", "left").where(F.col("r") != F.coalesce("root", "named"))
+    pairs = pairs.select(F.least("id", "named").alias("a"), F.greatest("id", "named").alias("b")).distinct()
+    pairs = scratch.keep(pairs.join(compared, ["a", "b"], "left_anti"), "second")
+    compared = compared.union(pairs)
+    links = links.union(verified(pairs, "second"))
+    roots = components(links, scratch, "second")
+    narrow = open_.where("not wide").select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     left, right = narrow.toDF("band", "a", "ra"), narrow.toDF("band", "b", "rb")
-    cross = left.join(right, "band").where("ra < rb").select("a", "b")
-    cross = cross.union(_beside_hub(open_.where("wide").select("hub", "id", "root").distinct(), sets_of, scratch, percent))
+    cross = left.join(right, "band").where("ra < rb").select("a", "b").union(_beside_hub(residues, outside, roots, percent))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(scratch.keep(cross.join(compared, ["a", "b"], "left_anti"), "cross"), "cross")
     roots = components(links.union(more), scratch, "all")
