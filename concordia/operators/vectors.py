@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -206,24 +207,70 @@ def pq_ratio(dimensions: int, subspaces: int) -> float:
 # --- locality-sensitive hashing ---------------------------------------------
 
 
-def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 8, seed: int = 3) -> DataFrame:
-    """query_id, neighbour_id, distance, rank among rows that share a signature of random hyperplanes.
+#: Pairs of queries and rows that are marked as candidates at once.
+MARKED_PAIRS = 8_000_000
 
-    Signatures are SQL expressions; queries meet rows by an equi-join on (table, signature).
+
+def _probes(margins: np.ndarray, probes: int) -> np.ndarray:
+    """[query, probe] signatures of one table, likeliest first, from [query, bit] distances to its planes.
+
+    Flipping a bit costs its squared distance; signatures of up to three flipped bits go by rising cost.
+    """
+    bits = margins.shape[1]
+    flips = [c for n in range(min(bits, 3) + 1) for c in combinations(range(bits), n)]
+    masks = np.array([sum(1 << b for b in c) for c in flips], np.int64)
+    flipped = np.array([[b in c for b in range(bits)] for c in flips], np.float64)
+    own = (margins > 0) @ (1 << np.arange(bits))
+    best = np.argsort(margins**2 @ flipped.T, axis=1, kind="stable")[:, :probes]
+    return own[:, None] ^ masks[best]
+
+
+def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 8, seed: int = 3, probes: int = 12) -> DataFrame:
+    """query_id, neighbour_id, distance, rank among rows whose signature of random hyperplanes is probed.
+
+    In every table a query probes its own signature and those it misses by least.  Queries
+    go in blocks of bounded size against all rows; candidates are compared exactly, each
+    partition keeps its own k best of every query, and a window picks the k best of those.
     """
     from pyspark.sql import Window
 
-    size = queries.select(F.size(vector)).first()[0]
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, size)).round(4)
+    spark, parts = corpus.sparkSession, []
+    for ids, rows in _blocks(queries, id_col, vector):
+        planes = np.random.default_rng(seed).normal(size=(tables, bits, rows.shape[1])).round(4)
+        probed = np.stack([_probes(rows @ p.T, probes) for p in planes]).astype(np.int32)
+        held = spark.sparkContext.broadcast((ids, rows, planes, probed))
 
-    def signed(df: DataFrame, label: str) -> DataFrame:
-        keys = []
-        for t in range(tables):
-            flags = [F.when(dot(F.col(vector), F.array(*map(F.lit, map(float, p)))) > 0, 1 << b).otherwise(0) for b, p in enumerate(planes[t])]
-            keys.append(F.struct(F.lit(t).alias("t"), sum(flags[1:], flags[0]).alias("s")))
-        return df.select(F.col(id_col).alias(label), F.col(vector).alias(f"{label}_v"), F.explode(F.array(*keys)).alias("key")).select(label, f"{label}_v", "key.t", "key.s")
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qid, q, planes, probed = held.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
+                signed = [(x @ p.T > 0) @ (1 << np.arange(bits)) for p in planes]
+                step = max(1, MARKED_PAIRS // max(len(x), 1 << bits))
+                for begin in range(0, len(qid), step):
+                    some = range(begin, min(begin + step, len(qid)))
+                    marked = np.zeros((len(some), len(x)), bool)
+                    for p, s in zip(probed, signed, strict=True):
+                        wanted = np.zeros((len(some), 1 << bits), bool)
+                        np.put_along_axis(wanted, p[begin : begin + step], True, axis=1)
+                        marked |= wanted[:, s]
+                    for i, near in zip(some, marked, strict=True):
+                        at = np.flatnonzero(near & (ids != qid[i]))
+                        d = np.concatenate([best[i][0], np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))])
+                        n = np.concatenate([best[i][1], ids[at]])
+                        order = np.lexsort((n, d))[:k]
+                        best[i] = d[order], n[order]
+            found = np.concatenate([n for _, n in best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, [len(n) for _, n in best])), pa.array(found), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", "neighbour_id", "distance"])
 
-    pairs = signed(queries, "query_id").join(signed(corpus, "neighbour_id"), ["t", "s"]).where("query_id <> neighbour_id")
-    pairs = pairs.dropDuplicates(["query_id", "neighbour_id"]).select("query_id", "neighbour_id", euclidean(F.col("query_id_v"), F.col("neighbour_id_v")).alias("distance"))
+        rows_in = corpus.select(F.col(id_col).cast("long"), F.col(vector).cast("array<float>"))
+        parts.append(rows_in.mapInArrow(run, "query_id bigint, neighbour_id bigint, distance double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, neighbour_id bigint, distance double, rank int")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
