@@ -44,7 +44,7 @@ FREEDOM = {
 UNKNOWN = 0.2
 #: What an exception adds to its licence.
 EXCEPTION = 0.2
-_LINE = re.compile(r"(?i)SPDX-License-Identifier\s*:[^\S\n]*([^\n]{0,400})")
+_TAGGED = re.compile(r"(?i)SPDX-License-Identifier\s*:[^\S\n]*")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
 
 
@@ -91,41 +91,55 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def expression(text: str) -> tuple[list[str], float] | None:
-    """(labels, freedom) of the longest well-formed expression at the start of text.
+def expression(text: str, begin: int = 0, end: int | None = None) -> tuple[list[str], float] | None:
+    """(labels, freedom) of the longest well-formed expression at the start of text[begin:end].
 
     AND takes the less free side, OR the freer one, WITH adds an exception to its licence.
     """
-    tokens = _TOKEN.findall(text)
-    # Prose may follow on the line: stop where an operand follows an operand.
-    end, operand = 0, False
-    for token in tokens:
+    # Prose may follow on the line: stop where an operand follows an operand, or nothing
+    # that follows can be well-formed.  ``whole`` tokens are the longest well-formed start.
+    tokens, whole, depth, operand = [], 0, 0, False
+    for found in _TOKEN.finditer(text, begin, len(text) if end is None else end):
+        token = found.group()
         joins = token.upper() in ("AND", "OR", "WITH")
-        if operand and not joins and token != ")":
+        if operand != (joins or token == ")"):
             break
-        operand = not joins and token != "("
-        end += 1
-    for n in range(end, 0, -1):
-        postfix = to_postfix(tokens[:n])
-        if postfix:
+        depth += (token == "(") - (token == ")")
+        if depth < 0:
             break
-    else:
+        operand = not joins and token != "("
+        tokens.append(token)
+        if operand and not depth:
+            whole = len(tokens)
+    postfix = to_postfix(tokens[:whole])
+    if not postfix:
         return None
-    stack: list[tuple[frozenset[str], float]] = []
+    stack: list[tuple[set[str], float]] = []
     for token in postfix:
         if token in ("AND", "OR"):
             (lb, b), (la, a) = stack.pop(), stack.pop()
-            stack.append((la | lb, min(a, b) if token == "AND" else max(a, b)))
+            few, many = sorted((la, lb), key=len)
+            many |= few
+            stack.append((many, min(a, b) if token == "AND" else max(a, b)))
         elif token == "WITH":
             (_, _), (la, a) = stack.pop(), stack.pop()
             stack.append((la, min(1.0, a + EXCEPTION)))
         else:
             label = family(token)
-            stack.append((frozenset([label]), FREEDOM.get(label, UNKNOWN)))
+            stack.append(({label}, FREEDOM.get(label, UNKNOWN)))
     labels, value = stack[0]
     return sorted(labels), value
 
 
+def tagged_expressions(text: str) -> Iterator[tuple[list[str], float]]:
+    """expression() after every tag, up to the end of its line or the next tag."""
+    tags = list(_TAGGED.finditer(text))
+    for tag, then in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+        line = text.find("\n", tag.end(), then)
+        if got := expression(text, tag.end(), then if line < 0 else line):
+            yield got
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     """Aho-Corasick over the phrases, each with a blank on both sides so that only whole words match."""
@@ -151,10 +165,9 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
         labels.add(label)
         values.append(FREEDOM[label])
     if tagged:
-        for line in _LINE.findall(text):
-            if got := expression(line):
-                labels.update(got[0])
-                values.append(got[1])
+        for found, value in tagged_expressions(text):
+            labels.update(found)
+            values.append(value)
     at = lambda i: joined.count(" ", 0, i)
     return (
         len(words), len(places), at(min(places)) if places else None, at(max(places)) if places else None,
@@ -167,7 +180,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.  One
     Aho-Corasick pass over the whole text finds notice phrases and identifier tags;
-    the expression after a tag is parsed and evaluated.  ``score`` is the freedom (0 to 1)
+    the expression after each tag, however long, is parsed and evaluated up to the end of its
+    line or the next tag.  ``score`` is the freedom (0 to 1)
     of the least free licence found, 0 where there is none.
 
     A null or empty text has no words, no labels and score 0; overlapping places all count;

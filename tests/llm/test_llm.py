@@ -227,6 +227,21 @@ def test_malformed_expressions():
     assert licenses.to_postfix(["MIT", ")"]) is None
 
 
+def test_long_expressions_and_tags_on_one_line(spark):
+    names = " OR ".join(f"LicenseRef-{i}-{'x' * 20}" for i in range(30))
+    rows = [
+        (1, f"SPDX-License-Identifier: ({names} OR GPL-3.0-only) AND MIT", "s"),
+        (2, "/* SPDX-License-Identifier: MIT */ x /* SPDX-License-Identifier: GPL-2.0-only */ y", "s"),
+        (3, "SPDX-License-Identifier: (" + "MIT OR " * 20_000, "s"),
+        (4, "SPDX-License-Identifier: MIT OR (Apache-2.0 AND\nGPL-2.0", "s"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert {"gpl", "mit"} <= set(got[1].labels.split(",")) and len(got[1].labels.split(",")) == 32
+    assert got[1].score == 0.3
+    assert (got[2].labels, got[2].score) == ("gpl,mit", 0.3)
+    assert (got[3].labels, got[4].labels) == ("", "mit")
+
+
 # --- 6 and 7 ----------------------------------------------------------------
 
 
