@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
+#: Tokens that a turn in the template has at least, without role and text.
+LEAST = 4
 
 
 def escape(text):
@@ -29,6 +31,27 @@ def render(role, text):
     return F.concat(F.lit("### "), head, F.lit(": "), escape(text), F.lit(END))
 
 
+def _segments(turns: DataFrame, segment: int) -> DataFrame:
+    """conv_id, segment, turns: each conversation in order, cut every ``segment`` turns.
+
+    Turns are sorted within ranges of turn numbers.  Only the ranges' counts pass a window
+    over the whole conversation; they tell at which rank a range starts.
+    """
+    mark = F.when(F.col("role") == "system", 0).otherwise(1)
+    ranges = turns.withColumn("range", F.floor(F.col("turn") / segment))
+    held = ranges.groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("turn", mark.alias("late"), "role", "text"))).alias("held"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranges.groupBy("conv_id", "range").count().withColumn("rank", F.sum("count").over(earlier))
+    ranks = ranks.where("rank > 0").select(F.col("conv_id").alias("of_id"), F.col("range").alias("of_range"), "rank")
+    held = held.join(ranks, F.col("conv_id").eqNullSafe(F.col("of_id")) & F.col("range").eqNullSafe(F.col("of_range")), "left")
+    held = held.withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))
+    cut = held.withColumn("segment", F.explode(F.expr(f"sequence(rank div {segment}, (rank + size(held) - 1) div {segment})")))
+    piece = F.expr(f"""slice(held, int(greatest(segment * {segment} - rank, 0)) + 1,
+        int(least(rank + size(held), (segment + 1) * {segment}) - greatest(rank, segment * {segment})))""")
+    pieces = F.sort_array(F.collect_list(F.struct("rank", piece.alias("piece"))))
+    return cut.groupBy("conv_id", "segment").agg(F.flatten(F.transform(pieces, lambda p: p.piece)).alias("turns"))
+
+
 def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 128, segment: int = 256) -> DataFrame:
     """One row per window of at most ``budget`` tokens (a quarter of the UTF-8 bytes).
 
@@ -37,8 +60,9 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 12
     that fit in ``history`` tokens.  Repeated turns carry no loss; every assistant turn
     carries it in the one window that brings it first.
 
-    Conversations are cut every ``segment`` turns (by turn number), so no task holds a
-    whole long conversation.  Null roles and texts are empty, null turns come first,
+    Conversations are cut every ``segment`` turns (by rank; more, if the history can hold so
+    many), so no task holds a whole long conversation.  The first window after a cut repeats
+    the longest end of the turns before it that fits.  Null roles and texts are empty, null turns come first,
     repeated rows stay, ties go by role and text; null ids form one conversation.  A turn
     above the budget has a window of its own (``over_budget``).  Columns other than
     conv_id, turn, role and text are ignored.  An empty table gives no windows.
@@ -54,12 +78,11 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 12
         turns.groupBy(F.col("conv_id").alias("sys_id"))
         .agg(F.min(F.struct("turn", F.when(F.col("role") == "system", 0).otherwise(1).alias("late"), "role", "text")).alias("first"))
         .where(F.col("first.role") == "system")
-        .select("sys_id", F.col("first.text").alias("sys_text"), F.col("first.turn").alias("sys_turn"))
-    )
-    mark = F.when(F.col("role") == "system", 0).otherwise(1)
-    parts = turns.groupBy("conv_id", F.floor(F.coalesce("turn", F.lit(-1)) / segment).alias("segment")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", mark.alias("late"), "role", "text"))).alias("turns")
+        .select("sys_id", F.col("first.text").alias("sys_text"))
     )
+    # As many turns as can fit in the history never reach over a whole segment.
+    most = history // LEAST
+    parts = _segments(turns, max(segment, most + 1))
     made = F.transform(
         "turns",
         lambda t: F.struct(
@@ -70,7 +93,9 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 12
     )
     tokens = lambda shown: F.ceil(F.octet_length(shown) / 4)
     parts = parts.select("conv_id", "segment", made.alias("turns"))
-    tail = F.expr("slice(turns, greatest(size(turns) - 3, 1), 4)")
+    tail = F.expr(f"""filter(slice(turns, greatest(size(turns) - {most} + 1, 1), {most}), (t, i) -> aggregate(
+        slice(turns, greatest(size(turns) - {most} + 1, 1) + i, size(turns)), 0L,
+        (n, u) -> n + ceil(octet_length(u.shown) / 4)) <= {history} and t.role != 'system')""")
     before = parts.select(
         F.col("conv_id").alias("old_id"), (F.col("segment") + 1).alias("old_segment"), tail.alias("tail")
     )
@@ -78,7 +103,7 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 12
         parts.join(system, F.col("conv_id").eqNullSafe(F.col("sys_id")), "left")
         .join(before, F.col("conv_id").eqNullSafe(F.col("old_id")) & (F.col("segment") == F.col("old_segment")), "left")
         .withColumn("sys_shown", render(F.lit("system"), F.col("sys_text")))
-        .withColumn("opens", F.col("segment").eqNullSafe(F.floor(F.coalesce("sys_turn", F.lit(-1)) / segment)))
+        .withColumn("opens", F.col("segment") == 0)
         .withColumn("tail", F.coalesce("tail", F.expr("slice(turns, 1, 0)")))
         .withColumn("room", F.lit(budget - history) - F.coalesce(tokens(F.col("sys_shown")), F.lit(0)))
     )
@@ -112,9 +137,7 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history: int = 12
     inside = F.expr(f"""slice(turns, 1 + greatest(old, begin - size(filter(
         slice(upto, 1 + old, begin - old), p -> upto[begin] - p <= {history}))), size(filter(
         slice(upto, 1 + old, begin - old), p -> upto[begin] - p <= {history})))""")
-    across = F.expr(f"""filter(tail, (t, i) -> aggregate(slice(tail, i + 1, size(tail)), 0L,
-        (n, u) -> n + ceil(octet_length(u.shown) / 4)) <= {history} and t.role != 'system')""")
-    carried = F.when(F.col("begin") == 0, across).otherwise(inside)
+    carried = F.when(F.col("begin") == 0, F.col("tail")).otherwise(inside)
     has_system = F.col("sys_shown").isNotNull() & ~(F.col("opens") & (F.col("begin") == 0))
     # A history that reaches back to the system turn holds it already.
     carried = F.filter(carried, lambda t: ~F.coalesce(F.col("sys_shown") == t.shown, F.lit(False)))

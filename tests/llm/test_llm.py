@@ -82,6 +82,22 @@ def test_chat_windows(spark):
     assert chat.format_chats(conversations(spark, [])).count() == 0
 
 
+def test_chat_history_over_cuts(spark):
+    """600 turns of 7 tokens: 18 fit in the history, also after a cut, whatever the turn numbers."""
+    said = [(("user", "assistant")[i % 2], "w" * (9, 4)[i % 2]) for i in range(600)]
+    rows = [(c, i * step - 5, *t) for c, step in ((1, 1), (2, 300), (3, 100_000)) for i, t in enumerate(said)]
+    rows += [(4, None, "user", "first"), (4, -10_000, "user", "second"), (4, 7, "user", "third")]
+    made = chat.format_chats(conversations(spark, rows)).orderBy("segment", "window").collect()
+    by = defaultdict(list)
+    for r in made:
+        by[r.conv_id].append((r.segment, r.window, r.n_repeated, r.formatted))
+        assert r.n_tokens <= 1024
+    assert by[1] == by[2] == by[3]
+    assert {x[2] for x in by[1][1:]} == {18}
+    assert sum(x[1] == 0 for x in by[1]) == 3
+    assert [x[3] for x in by[4]] == ["".join(f"### user: {t}</turn>\n" for t in ("first", "second", "third"))]
+
+
 # --- 2 ----------------------------------------------------------------------
 
 
