@@ -285,6 +285,16 @@ def sj_null_keys(spark: SparkSession, d: str) -> DataFrame:
     return semantic_join(a, b, "k", "k", fuzzy=False, null_equal=True, prepared=_keys("default")).select("left_id", "right_sid")
 
 
+@query("""WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN 'Key ' || c_custkey END AS k FROM customer),
+b AS (SELECT s_suppkey AS sid, CASE WHEN s_suppkey > 3 THEN ' KEY  ' || s_suppkey || ' ' END AS k FROM supplier)
+SELECT id AS left_id, sid AS right_sid FROM a JOIN b ON regexp_replace(lower(trim(a.k)), '\\s+', ' ', 'g') IS NOT DISTINCT FROM regexp_replace(lower(trim(b.k)), '\\s+', ' ', 'g')""")
+def sj_null_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Both whole tables: a seventh of the left keys is null, and three of the right ones, so rows grow with the customers."""
+    a = _t(spark, d, "customer").selectExpr("c_custkey as id", "if(c_custkey % 7 <> 0, concat('Key ', c_custkey), null) as k")
+    b = _t(spark, d, "supplier").selectExpr("s_suppkey as sid", "if(s_suppkey > 3, concat(' KEY  ', s_suppkey, ' '), null) as k")
+    return semantic_join(a, b, "k", "k", fuzzy=False, null_equal=True, prepared=_keys("default")).select("left_id", "right_sid")
+
+
 @query(f"""WITH {_SIDES_SQL} SELECT count(*)::BIGINT AS rows, count(orders)::BIGINT AS matched FROM c LEFT JOIN o ON lower(trim(name)) = lower(trim(customer))""")
 def sj_stats(spark: SparkSession, d: str) -> DataFrame:
     c, o = _sides(spark, d)
