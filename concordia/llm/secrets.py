@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 from concordia.llm import forest
 
-#: Runs of token characters, 16 or longer, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"
+_RUN = r"[A-Za-z0-9+/_.\-]"
+_ASSIGNED = r"(?<=[:=]>?[ \t]{0,3}[\"'`]?)"
+_NAMED = r"(?<=(?i:secret|token|passw|pwd|api.?key|access.?key|auth|credential|private.?key|client.?key)[A-Za-z0-9_]{0,12}[\"'`]?\]?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?)"
+_BEARER = r"(?<=(?i:bearer)[ \t]{1,3})"
+#: Runs of token characters: 16 or longer with a digit, or 6 or longer after the name of a secret.  "=" only pads.
+CANDIDATE = (
+    rf"(?<!{_RUN})(?:(?=[A-Za-z+/_.\-]*[0-9]){_RUN}{{16,}}|(?={_RUN}{{6}})(?:{_ASSIGNED}{_NAMED}|{_BEARER}){_RUN}{{6,}})"
+    rf"(?:={{1,2}}(?![A-Za-z0-9+/_.=\-]))?"
+)
 #: Characters around a candidate that the features see.
 CONTEXT = 60
 #: Labelled findings that the forest is fitted on, at most.
@@ -68,8 +75,9 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
 def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str, int]]:
     """(before, value, after, is secret): findings labelled by how they are made, half of each.
 
-    Secrets are random tokens in hex, base64 and vendor shapes after names of secrets;
-    the rest are hashes, ids, numbers, paths, addresses and placeholders in their usual places.
+    Secrets are random tokens in hex, base64 and vendor shapes and passwords after names of
+    secrets, also in .env lines and URLs; the rest are hashes, ids, numbers, paths, addresses,
+    placeholders, and code and prose after such names, in their usual places.
     """
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
@@ -82,6 +90,9 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
         lambda: pick(alnum + "+/", rng.randint(22, 86)) + rng.choice(("", "=", "==")),
         lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "AKIA")) + pick(alnum, rng.randint(16, 40)),
         lambda: pick(alnum + "_-", rng.randint(24, 44)),
+        lambda: pick(string.ascii_letters, rng.randint(16, 32)),
+        lambda: pick(string.ascii_lowercase, rng.randint(4, 8)) + pick(string.digits, rng.randint(1, 3)) + pick(string.ascii_letters, rng.randint(1, 4)) + pick(string.digits, rng.randint(0, 2)),
+        lambda: pick(alnum, rng.randint(9, 18)),
     )
     words = lambda k, sep: sep.join(rng.choice(DICTIONARY) for _ in range(k))
     others = (
@@ -92,6 +103,8 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
         lambda: (f"{filler()} ", f"/{words(3, '/')}/{words(2, '-')}-{rng.randint(1, 99)}.json", " "),
         lambda: (f"{filler()}.{rng.randint(10, 99)}", f"@mail{rng.randint(1, 9)}.example.com".lstrip("@") + f"{rng.randint(100, 999)}", " "),
         lambda: (f'{rng.choice(names)} = "', rng.choice(("your_token_here_123", "example-api-key-0000", "changeme1234567890", "xxxxxxxxxxxxxxxx0000", "test_secret_1234567")), '"'),
+        lambda: (f"{filler()} {rng.choice(names)}{rng.choice((': ', ' = ', '='))}", words(rng.randint(1, 3), rng.choice("._")), rng.choice((" ", "(", ")", ",", ";"))),
+        lambda: (f"{filler()} {rng.choice(names)}: ", pick(string.ascii_lowercase, rng.randint(6, 11)), rng.choice((" ", ".", ","))),
         lambda: (f"{filler()} ", f"{words(3, '_')}_v{rng.randint(1, 20)}", rng.choice((" ", "(", "="))),
         lambda: (f"{filler()} ", f"20{rng.randint(10, 26)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{rng.randint(10, 23)}-{rng.randint(10, 59)}-00", " "),
     )
@@ -99,7 +112,9 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
     for i in range(n):
         if i % 2:
             q = rng.choice(('"', "'", ""))
-            rows.append((f"{filler()} {rng.choice(names)}{rng.choice((' = ', '=', ': ', ' '))}{q}", rng.choice(shapes)(), q or " ", 1))
+            place = rng.choice((f"{filler()} ", f"{filler()} ", "\nexport ", "\n", f"{filler()} https://{words(2, '.')}.com/{words(1, '')}?"))
+            sep = rng.choice(("=",) if place[-1] in "?\n" or "export" in place else (" = ", "=", ": ", ": "))
+            rows.append((f"{place}{rng.choice(names)}{sep}{'' if '?' in place else q}", rng.choice(shapes)(), "&" if "?" in place else q or rng.choice((" ", "\n")), 1))
         else:
             rows.append((*rng.choice(others)(), 0))
     return rows
@@ -115,32 +130,53 @@ def train(spark: SparkSession, findings: DataFrame | None = None, rows: int = TR
     return forest.fit(data[:, :-1], data[:, -1])
 
 
+def found_in_texts(spark: SparkSession, rows: list[tuple[str, str, str, int]]) -> DataFrame:
+    """(before, value, after, label) of what candidates() finds in the whole texts of labelled findings.
+
+    A candidate other than the finding is no secret; one that only overlaps a secret is left out.
+    """
+    texts = [(i, b + v + a, len(b), len(v), y) for i, (b, v, a, y) in enumerate(rows)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, at int, size int, is_secret int")
+    n = F.char_length("value")
+    exact = (F.col("start") == F.col("at")) & (n == F.col("size"))
+    apart = (F.col("start") + n <= F.col("at")) | (F.col("start") >= F.col("at") + F.col("size"))
+    found = candidates(docs).join(docs.drop("text"), "doc_id").where(exact | apart | (F.col("is_secret") == 0))
+    return found.orderBy("doc_id", "finding").select("before", "value", "after", F.when(exact, F.col("is_secret")).otherwise(0).alias("label"))
+
+
 @cache
 def _built_in(spark: SparkSession) -> list:
-    return train(spark, spark.createDataFrame(labelled_findings(), "before string, value string, after string, label int"))
+    return train(spark, found_in_texts(spark, labelled_findings()))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, finding (from 0), start, value, before, after of every candidate of the whole texts."""
     rows = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
+    last = lambda r: F.substring(r, F.greatest(F.char_length(r) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT))
     ends = lambda r: F.struct(
         F.char_length(r).cast("long").alias("n"),
-        F.substring(r, F.greatest(F.char_length(r) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("last"),
+        last(r).alias("last"),
         F.substring(r, F.lit(1), F.lit(CONTEXT)).alias("first"),
     )
     rows = rows.select(
         "doc_id",
-        F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)").alias("found"),
+        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
         F.transform(F.split("text", CANDIDATE), ends).alias("rest"),
     )
-    one = rows.select("doc_id", "rest", F.transform("found", F.char_length).alias("sizes"), F.posexplode("found").alias("finding", "value"))
+    one = rows.select("doc_id", "rest", F.transform("found", F.char_length).alias("sizes"), F.transform("found", last).alias("lasts"), F.posexplode("found").alias("finding", "value"))
+    # The name before a value may be a candidate itself.
+    before = F.concat(
+        F.coalesce(F.get("rest", F.col("finding") - 1).getField("last"), F.lit("")),
+        F.coalesce(F.get("lasts", F.col("finding") - 1), F.lit("")),
+        F.get("rest", F.col("finding")).getField("last"),
+    )
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, n: t + n)
     return one.select(
         "doc_id",
         "finding",
         (total(F.slice("rest.n", F.lit(1), F.col("finding") + 1)) + total(F.slice("sizes", F.lit(1), F.col("finding")))).alias("start"),
         "value",
-        F.get("rest", F.col("finding")).getField("last").alias("before"),
+        last(before).alias("before"),
         F.get("rest", F.col("finding") + 1).getField("first").alias("after"),
     )
 
@@ -148,7 +184,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, finding, start, length, secret_sha256 and score of each secret.
 
-    Candidates are long runs of token characters with a digit.  The forest scores their
+    Candidates are long runs of token characters with a digit, and shorter or digit-free
+    ones after the name of a secret.  The forest scores their
     length, character shares and transitions, dictionary coverage, path and neighbouring
     words; those below ``threshold`` are removed as false positives.  Secrets are given as
     digests, never as texts.
