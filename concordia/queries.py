@@ -251,20 +251,33 @@ _SIDES_SQL = """c AS (SELECT c_custkey AS id, c_name AS name FROM customer),
 o AS (SELECT '  CUSTOMER#' || lpad(o_custkey::VARCHAR, 9, '0') || ' ' AS customer, count(*)::BIGINT AS orders FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)"""
 
 
-def _joined(how: str) -> None:
+def _whole_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """As _sides(), of all orders: those of a third of the customers go by names without a partner."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    spelled = F.when(F.col("o_custkey") % 3 == 0, "  CLIENT#").otherwise("  CUSTOMER#")
+    return c, o.select(F.concat(spelled, F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" ")).alias("customer"), "orders")
+
+
+_WHOLE_SIDES_SQL = """c AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+o AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN '  CLIENT#' ELSE '  CUSTOMER#' END || lpad(o_custkey::VARCHAR, 9, '0') || ' ' AS customer, count(*)::BIGINT AS orders FROM orders GROUP BY o_custkey)"""
+
+
+def _joined(how: str, name: str, sides: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]], sides_sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c, o = _sides(spark, d)
+        c, o = sides(spark, d)
         out = semantic_join(c, o, "name", "customer", how=how, fuzzy=False, prepared=_keys("default"))
         return out.select("left_id", "right_orders", F.col(f"{META}.match_type").alias("match_type"))
 
     kind = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}[how]
-    QUERIES[f"sj_{how}"] = run
-    SQL[f"sj_{how}"] = f"""WITH {_SIDES_SQL} SELECT id AS left_id, orders AS right_orders,
+    QUERIES[name] = run
+    SQL[name] = f"""WITH {sides_sql} SELECT id AS left_id, orders AS right_orders,
 CASE WHEN id IS NULL OR orders IS NULL THEN 'no_match' ELSE 'normalized' END AS match_type FROM c {kind} o ON lower(trim(name)) = lower(trim(customer))"""
 
 
 for _how in ("inner", "left", "right", "outer"):
-    _joined(_how)
+    _joined(_how, f"sj_{_how}", _sides, _SIDES_SQL)
+    _joined(_how, f"sj_{_how}_whole", _whole_sides, _WHOLE_SIDES_SQL)
 
 
 @query("""SELECT c_custkey AS left_c_custkey, s_suppkey AS right_s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
@@ -301,6 +314,12 @@ def sj_stats(spark: SparkSession, d: str) -> DataFrame:
     return match_statistics(semantic_join(c, o, "name", "customer", how="left", fuzzy=False, prepared=_keys("default"))).select("rows", "matched")
 
 
+@query(f"""WITH {_WHOLE_SIDES_SQL} SELECT count(*)::BIGINT AS rows, count(orders)::BIGINT AS matched FROM c LEFT JOIN o ON lower(trim(name)) = lower(trim(customer))""")
+def sj_stats_whole(spark: SparkSession, d: str) -> DataFrame:
+    c, o = _whole_sides(spark, d)
+    return match_statistics(semantic_join(c, o, "name", "customer", how="left", fuzzy=False, prepared=_keys("default"))).select("rows", "matched")
+
+
 _FUZZY_SQL = """l AS (SELECT DISTINCT lower(p_name) AS k FROM part),
 r AS (SELECT DISTINCT lower(CASE WHEN length(p_name) % 2 = 0 THEN replace(p_name, 'e', '') ELSE substr(p_name, 2) || 'x' END) AS k FROM part)"""
 
@@ -415,7 +434,8 @@ def luhn_valid(spark: SparkSession, d: str) -> DataFrame:
 def _renamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _t(spark, d, "customer")
     old = c.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
-    new = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("cust_pk"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("price"))
+    title = F.when(F.col("c_custkey") % 5 == 0, F.replace("c_name", F.lit("Customer"), F.lit("Client"))).otherwise(F.col("c_name"))
+    new = c.select(F.col("c_custkey").alias("cust_pk"), title.alias("title"), F.col("c_acctbal").alias("price"))
     return old, new
 
 
