@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where neither the setting nor a checkpoint folder exists (local runs and
-    tests) a folder of this machine is made and set.
+    Only where neither the setting nor a checkpoint folder exists and Spark runs in this
+    process alone (local runs and tests) a folder of this machine is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="concordia-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -31,21 +36,42 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs a read, not a recomputation."""
+    """Written tables that cut lineage: a lost executor costs a read, not a recomputation.
+
+    Results may be read as long as the driver runs; when it ends, the folder goes.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/concordia-{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        atexit.register(self._remove)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return the written table."""
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the result and remove all other tables."""
+        out = self.keep(df, "result")
+        self.drop(*(self.names - {"result"}))
+        return out
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(f"{self.path}/{name}")
+            self.names.discard(name)
+
+    def _remove(self) -> None:
+        if SparkContext._active_spark_context is not None:
+            _delete(self.path)
+
+
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -29,3 +29,14 @@ def odd(seed: int, n: int, dtype) -> np.ndarray:
     """n seeded odd multipliers."""
     top = np.iinfo(dtype).max
     return np.random.default_rng(seed).integers(1, top, n, dtype=dtype, endpoint=True) | dtype(1)
+
+
+def fresh(columns: list[str], *names: str) -> str | list[str]:
+    """Names for helper columns that clash with none of ``columns``, whatever their case."""
+    taken, made = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made[0] if len(made) == 1 else made

@@ -189,16 +189,88 @@ def varied(n, seed=2):
     return out
 
 
-@pytest.mark.parametrize("wide", [0, 64])
-def test_near_duplicates(spark, monkeypatch, wide):
-    """Also with all open buckets treated as wide."""
+@pytest.mark.parametrize(("percent", "wide"), [(75, 0), (75, 64), (30, 0), (50, 0), (90, 0)])
+def test_near_duplicates(spark, monkeypatch, percent, wide):
+    """Also with all open buckets treated as wide, and at other thresholds."""
     monkeypatch.setattr(neardup, "WIDE", wide)
     rows = [(i, t, "s") for i, t in enumerate(varied(260), 10)] + [r for r in ODD if r[0]]
-    want = plain_components(rows)
-    got = neardup.near_duplicates(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    want = plain_components(rows, percent)
+    got = neardup.near_duplicates(docs(spark, [*rows, ODD[-1]]), percent).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id)
+    assert [(r.component_id, r.kept) for r in got if not r.doc_id] == [(None, True)]
+
+
+def clouds(seed):
+    """Variants of one text that are mostly apart from each other, and a cloud of another that is far from its hub."""
+    rng = random.Random(seed)
+    body = some_texts(400, seed, 200)
+    body = [t.split() for t in body if len(t.split()) > 150][:2]
+    out = []
+    for base, n, most in ((body[0], 120, 14), (body[0][:90] + body[1][:60], 60, 3)):
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, most)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            cut = rng.randrange(0, 40)
+            out.append(" ".join(w[cut:] if rng.random() < 0.5 else w))
+    return out
+
+
+@pytest.mark.parametrize(("percent", "wide", "frequent"), [(75, 0, 16), (75, 8, 1), (50, 0, 16), (90, 0, 2)])
+def test_clouds_of_variants(spark, monkeypatch, percent, wide, frequent):
+    """No link is lost by what members share with their hub, in whatever order shingles come; hubs are salted."""
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "SALT_ROWS", 7)
+    rows = [(i, t, "s") for i, t in enumerate(clouds(percent), 1)]
+    got = neardup.near_duplicates(docs(spark, rows), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows, percent)
+
+
+def test_differences_from_a_hub():
+    """The shared part of two differences is what a link needs exactly, and meets within the first elements."""
+    rng = np.random.default_rng(4)
+    for percent in (30, 50, 75, 90):
+        run = neardup._meetings(percent)
+        for _ in range(60):
+            base = rng.choice(2**40, rng.integers(4, 60), replace=False)
+            sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.5], rng.choice(2**40, rng.integers(0, 12))])) for _ in range(3)]
+            hub, a, b = sets
+            rows = [np.setxor1d(x, hub) for x in (a, b)]
+            widest = max(len(a), len(b))
+            n = len(np.union1d(a, b))
+            linked = n and 100 * len(np.intersect1d(a, b)) >= percent * n
+            far = [100 * len(np.intersect1d(x, hub)) < percent * len(np.union1d(x, hub)) for x in (a, b)]
+            if not linked or not any(far) or not len(a) or not len(b):
+                continue
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([0, 0]), pa.array([1, 2]), pa.array([1, 1]), pa.array([len(a), len(b)]), pa.array([len(hub)] * 2), pa.array(rows, pa.list_(pa.int64())),
+                 pa.array([widest] * 2), pa.array([None, None], pa.list_(pa.int64())), pa.array([None, None], pa.list_(pa.int64()))],
+                names=list("abcdefghi"),
+            )
+            made = next(run(iter([batch])))
+            first = [set(v) for v in made.column(5).to_pylist()]
+            assert first[0] & first[1]
+
+
+def test_bands_and_signatures_of_other_thresholds():
+    assert neardup.banding(75) == (4, 32)
+    assert neardup.banding(30)[0] == 1 and neardup.banding(90)[0] > 4
+    assert neardup.least_agreeing(75) == 67
+    with pytest.raises(ValueError):
+        neardup.banding(5)
+
+
+def test_keep_one_of_odd_rows(spark):
+    """A row without an id stays, and helper columns clash with none of the table's."""
+    rows = [(1, "the very same text of some words", 5, 5), (2, "the very same text of some words", 6, 6), (None, "the very same text of some words", 7, 7), (3, None, 8, 8)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, __id int, gone_id int")
+    left = neardup.keep_one(table)
+    assert left.columns == table.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+    assert neardup.keep_one(table.limit(0)).count() == 0
 
 
 def test_near_duplicates_of_nothing(spark):
