@@ -83,7 +83,7 @@ class Rule:
     rejects: Callable[[Profile], bool]
 
 
-#: Always evaluated, and first: the base that every verdict rests on.
+#: The base that every verdict rests on.
 BASE = (
     Rule("too_short", lambda p: p.n_words < 50),
     Rule("repetitive", lambda p: 100 * p.n_repeat_words > 50 * p.n_words),
@@ -99,21 +99,54 @@ RULES = (
 )
 
 
-def estimate(sample: Sequence[str | None], rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a text, share rejected) of each rule, each on profiles of its own."""
+@dataclass(frozen=True)
+class Estimate:
+    """What a sample tells of a rule: the figures it asks for and the texts it rejects."""
+
+    rule: Rule
+    figures: frozenset[str]
+    rejected: tuple[bool, ...]
+
+
+def estimate(sample: Sequence[str | None], rules: Sequence[Rule]) -> tuple[list[Estimate], dict[str, float]]:
+    """Each rule's estimate, and the seconds a text that each figure takes once those it rests on are there."""
+    figures = [n for n, v in vars(Profile).items() if isinstance(v, cached_property)]
+    seconds = dict.fromkeys(figures, 0.0)
+    for text in sample:
+        p = Profile(text)
+        for f in figures:
+            began = time.perf_counter()
+            getattr(p, f)
+            seconds[f] += (time.perf_counter() - began) / len(sample)
     found = []
     for rule in rules:
-        began, rejected = time.perf_counter(), 0
+        asked, rejected = set(), []
         for text in sample:
-            rejected += rule.rejects(Profile(text))
-        n = max(len(sample), 1)
-        found.append((rule, (time.perf_counter() - began) / n + 1e-9, rejected / n))
-    return found
+            p = Profile(text)
+            rejected.append(bool(rule.rejects(p)))
+            asked |= vars(p).keys() & seconds.keys()
+        found.append(Estimate(rule, frozenset(asked), tuple(rejected)))
+    return found, seconds
+
 
+def order(sample: Sequence[str | None], rules: Sequence[Rule], known: Sequence[str] = ()) -> list[Rule]:
+    """Most rejections per second first, of the texts that the rules before have left.
 
-def order(sample: Sequence[str | None], rules: Sequence[Rule]) -> list[Rule]:
-    """Most rejections per second first.  The verdict does not depend on the order."""
-    return [r for r, cost, share in sorted(estimate(sample, rules), key=lambda x: -x[2] / x[1])]
+    A rule costs only those of its figures that neither rules before it asked for nor are
+    ``known`` anyway.  Rules that reject nothing of what is left come last, cheap ones first.
+    The verdict does not depend on the order.
+    """
+    left, seconds = estimate(sample, rules)
+    alive, have, out = [True] * len(sample), set(known), []
+    while left:
+        cost = {e.rule: sum(seconds[f] for f in e.figures - have) + 1e-8 for e in left}
+        share = {e.rule: sum(a and r for a, r in zip(alive, e.rejected, strict=True)) for e in left}
+        best = min(left, key=lambda e: (-share[e.rule] / cost[e.rule], cost[e.rule]))
+        out.append(best.rule)
+        left.remove(best)
+        have |= best.figures
+        alive = [a and not r for a, r in zip(alive, best.rejected, strict=True)]
+    return out
 
 
 def draw(docs: DataFrame, sample_size: int, seed: int = 7) -> list[str | None]:
@@ -129,12 +162,13 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300
 
     The base figures are computed for every row.  The rules then run in the order that
     a sample of ``sample_size`` texts suggests and stop at the first rejection; the sample
-    decides only the order, never a verdict.  A null text counts as empty, and texts
-    without words fail the base.  Repeated rows are judged alike; other columns do not
+    decides only the order, never a verdict.  A null text counts as empty, texts
+    without words fail the base, and texts of any length count as a whole.  Repeated rows are
+    judged alike; no verdict depends on other rows, so ties cannot occur; other columns do not
     matter; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    ordered = order(draw(docs, sample_size), rules)
+    ordered = order(draw(docs, sample_size), rules, FIGURES)
     carry = list(carry)
     kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), *(f"`{c}` bigint" for c in FIGURES), "base_failed boolean", "kept boolean", "rejected_by string"])
     text_at = len(carry)
@@ -156,9 +190,14 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int = 300) -> DataFrame:
-    """The rows of docs that pass, with their columns as they were."""
+    """The rows of docs that pass, with their columns as they were, whatever their names.
+
+    The base rules take their place in the order like all others, so the dear ones run only on
+    what cheaper ones leave.  Null, empty and wordless texts go, texts of any length are judged as
+    a whole, repeated rows stay or go together, and an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
-    ordered = order(draw(docs, sample_size), rules)
+    ordered = order(draw(docs, sample_size), (*BASE, *rules))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +205,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_size: int =
             keep = []
             for text in batch.column(at):
                 p = Profile(text.as_py())
-                keep.append(not any(r.rejects(p) for r in (*BASE, *ordered)))
+                keep.append(not any(r.rejects(p) for r in ordered))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
