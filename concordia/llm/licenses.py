@@ -44,7 +44,11 @@ FREEDOM = {
 UNKNOWN = 0.2
 #: What an exception adds to its licence.
 EXCEPTION = 0.2
-_TAGGED = re.compile(r"(?i)SPDX-License-Identifier\s*:[^\S\n]*")
+#: The tag as it is written, in any case.
+_WRITTEN = "spdx-license-identifier"
+_COLON = re.compile(r"\s*:[^\S\n]*")
+#: Words of a text as it is, before A-Z are lower-cased.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
 
 
@@ -131,12 +135,20 @@ def expression(text: str, begin: int = 0, end: int | None = None) -> tuple[list[
     return sorted(labels), value
 
 
-def tagged_expressions(text: str) -> Iterator[tuple[list[str], float]]:
-    """expression() after every tag, up to the end of its line or the next tag."""
-    tags = list(_TAGGED.finditer(text))
-    for tag, then in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
-        line = text.find("\n", tag.end(), then)
-        if got := expression(text, tag.end(), then if line < 0 else line):
+def tagged_expressions(text: str, at: list[int]) -> Iterator[tuple[list[str], float]]:
+    """expression() after every tag, up to the end of its line or the next tag.
+
+    ``at`` holds the numbers of the words at which the automaton found a tag's words; it is a
+    tag if it is written with hyphens and a colon follows.
+    """
+    words, tags = [m.span() for m in _WORD.finditer(text)], []
+    for k in at:
+        begin, end = words[k][0], words[k + 2][1]
+        if text[begin:end].lower() == _WRITTEN and (colon := _COLON.match(text, end)):
+            tags.append((begin, colon.end()))
+    for (_, begin), then in zip(tags, [*(t[0] for t in tags[1:]), len(text)], strict=False):
+        line = text.find("\n", begin, then)
+        if got := expression(text, begin, then if line < 0 else line):
             yield got
 
 
@@ -154,21 +166,21 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = T.alnum_words(text)
     joined = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    places, base, labels, values, tagged = [], set(), set(), [], False
+    places, base, labels, values, tags = [], set(), set(), [], []
     for end, (phrase, label, is_base) in automaton().iter(joined):
         if label is None:
-            tagged = True
+            tags.append(end - len(phrase) - 1)
             continue
         if is_base:
             places.append(end - len(phrase) - 1)
             base.add(label)
         labels.add(label)
         values.append(FREEDOM[label])
-    if tagged:
-        for found, value in tagged_expressions(text):
+    at = lambda i: joined.count(" ", 0, i)
+    if tags:
+        for found, value in tagged_expressions(text, [at(i) for i in tags]):
             labels.update(found)
             values.append(value)
-    at = lambda i: joined.count(" ", 0, i)
     return (
         len(words), len(places), at(min(places)) if places else None, at(max(places)) if places else None,
         ",".join(sorted(base)), ",".join(sorted(labels)), min(values, default=0.0),
@@ -184,11 +196,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     line or the next tag.  ``score`` is the freedom (0 to 1)
     of the least free licence found, 0 where there is none.
 
-    A null or empty text has no words, no labels and score 0; overlapping places all count;
-    repeated rows are scanned alike; other columns are ignored; an empty table gives no rows.
+    A null or empty text has no words, no labels and score 0; texts of any length are scanned as a
+    whole; overlapping places all count; repeated rows are scanned alike; other columns are
+    ignored; an empty table gives no rows.
     """
-
     small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
