@@ -22,6 +22,8 @@ CANDIDATE = (
     rf"(?<!{_RUN})(?:(?=[A-Za-z+/_.\-]*[0-9]){_RUN}{{16,}}|(?={_RUN}{{6}})(?:{_ASSIGNED}{_NAMED}|{_BEARER}){_RUN}{{6,}})"
     rf"(?:={{1,2}}(?![A-Za-z0-9+/_.=\-]))?"
 )
+#: Candidates whose lengths are summed together.
+BLOCK = 128
 #: Characters around a candidate that the features see.
 CONTEXT = 60
 #: Labelled findings that the forest is fitted on, at most.
@@ -121,10 +123,11 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, str, str,
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None, rows: int = TRAINING_ROWS) -> list:
-    """A forest from labelled findings (before, value, after, label), of which at most ``rows`` are used."""
+    """A forest from labelled findings (before, value, after, label), of which ``rows`` are used at most:
+    those with the least hashes, however the table is dealt out."""
     if findings is None:
         return _built_in(spark)
-    table = findings.limit(rows)
+    table = findings.select("before", "value", "after", "label").orderBy(F.xxhash64("before", "value", "after", "label"), "before", "value", "after").limit(rows)
     shown = table.select(*features(F.col("value"), F.col("before"), F.col("after")), F.col("label").cast("double")).collect()
     data = np.array([list(r) for r in shown], float)
     return forest.fit(data[:, :-1], data[:, -1])
@@ -163,22 +166,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
         F.transform(F.split("text", CANDIDATE), ends).alias("rest"),
     )
-    one = rows.select("doc_id", "rest", F.transform("found", F.char_length).alias("sizes"), F.transform("found", last).alias("lasts"), F.posexplode("found").alias("finding", "value"))
-    # The name before a value may be a candidate itself.
-    before = F.concat(
-        F.coalesce(F.get("rest", F.col("finding") - 1).getField("last"), F.lit("")),
-        F.coalesce(F.get("lasts", F.col("finding") - 1), F.lit("")),
-        F.get("rest", F.col("finding")).getField("last"),
-    )
+    rows = rows.withColumn("lasts", F.transform("found", last))
+    rows = rows.withColumn("sizes", F.zip_with("rest", "found", lambda r, v: r.getField("n") + F.coalesce(F.char_length(v), F.lit(0))))
+    # Sums of whole blocks keep the places of many candidates in one text from being summed anew.
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, n: t + n)
-    return one.select(
-        "doc_id",
-        "finding",
-        (total(F.slice("rest.n", F.lit(1), F.col("finding") + 1)) + total(F.slice("sizes", F.lit(1), F.col("finding")))).alias("start"),
-        "value",
-        last(before).alias("before"),
-        F.get("rest", F.col("finding") + 1).getField("first").alias("after"),
-    )
+    block = F.sequence(F.lit(0), F.floor(F.size("found") / BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.transform(block, lambda b: total(F.slice("sizes", b * BLOCK + 1, F.lit(BLOCK)))))
+
+    def hit(value: Column, i: Column) -> Column:
+        whole = F.floor(i / BLOCK).cast("int")
+        start = total(F.slice("blocks", F.lit(1), whole)) + total(F.slice("sizes", whole * BLOCK + 1, i - whole * BLOCK)) + F.get("rest", i).getField("n")
+        # The name before a value may be a candidate itself.
+        before = F.concat(
+            F.coalesce(F.get("rest", i - 1).getField("last"), F.lit("")), F.coalesce(F.get("lasts", i - 1), F.lit("")), F.get("rest", i).getField("last")
+        )
+        return F.struct(i.alias("finding"), start.alias("start"), value.alias("value"), last(before).alias("before"), F.get("rest", i + 1).getField("first").alias("after"))
+
+    return rows.select("doc_id", F.inline(F.transform("found", hit)))
 
 
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -190,8 +194,9 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     words; those below ``threshold`` are removed as false positives.  Secrets are given as
     digests, never as texts.
 
-    Null and empty texts have none; repeated rows give repeated findings, a text's findings
-    are numbered by place; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have none; texts of any length are searched as a whole; repeated rows
+    give repeated findings, a text's findings are numbered by place; a score that equals
+    ``threshold`` stands; other columns are ignored; an empty table gives no rows.
     """
     trees = train(docs.sparkSession, findings)
     scored = candidates(docs).select("*", *(c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before"), F.col("after")), strict=True)))
