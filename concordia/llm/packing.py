@@ -16,7 +16,7 @@ from concordia.llm.tokens import encoder, gathered
 
 #: Rounds join the tasks' leftovers in so many times fewer tasks.
 FAN = 16
-#: One task never packs more rows than about so many in a later round.
+#: One task packs about so many rows at most, in any round.
 ROUND_ROWS = 1_000_000
 
 
@@ -94,8 +94,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     task's share stays below ROUND_ROWS, so memory is bounded and the waste of many
     half-filled bins is not multiplied by the tasks.
 
-    A null text is the end id alone; equal documents are packed as often as they occur;
-    other columns are ignored; an empty table gives no rows.
+    A null or empty text is the end id alone; texts of any length are encoded as a whole; equal
+    documents are packed as often as they occur, pieces of equal length in any order; of bins
+    that serve equally well the one with the smallest gap left takes a piece; a null id stays
+    null; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
@@ -123,7 +125,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     kind = PIECE + ", sequence_id bigint, offset bigint"
     rest, done, number = pieces, [], 0
     n = rest.count()
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000), -(-n // ROUND_ROWS))
     while True:
         number += 1
         last = tasks == 1 or number > 6
