@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from concordia.llm import texts as T
 from concordia.llm.scratch import small_batches
@@ -42,6 +43,20 @@ def windows(words: list[bytes], width: int = 5) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
+class Statistics:
+    """Items with words, their words, and the items that each word is in: of the whole benchmark,
+    so that weights do not depend on how many indexes it makes."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        self.n, self.words, self.df = 0, 0, Counter()
+        for text in texts:
+            question, answer = question_answer(text or "")
+            if question or answer:
+                self.n += 1
+                self.words += len(question) + len(answer)
+                self.df.update({*question, *answer})
+
+
 class Index:
     """Inverted index of items; weights are BM25 shares of an item's own score, so 1 is all of it.
 
@@ -50,7 +65,7 @@ class Index:
     Within a group, items are in blocks; ``bound[t, b]`` is term t's largest weight in block b.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]], of: Statistics | None = None):
         self.items, self.parts, lists = [], [], []
         for item, text in items:
             question, answer = question_answer(text or "")
@@ -58,9 +73,9 @@ class Index:
                 self.items.append(item)
                 self.parts.append((windows(question), windows(answer)))
                 lists.append(question + answer)
-        n, df = len(lists), Counter(w for x in lists for w in set(x))
-        mean = sum(map(len, lists)) / max(n, 1)
-        self.terms = {w: i + 1 for i, w in enumerate(df)}
+        of = of or Statistics(t for _, t in items)
+        n, df, mean = of.n, of.df, of.words / max(of.n, 1)
+        self.terms = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
         groups: dict[int, list[int]] = defaultdict(list)
         for i, x in enumerate(lists):
             groups[max(16, 1 << (len(x) - 1).bit_length())].append(i)
@@ -69,7 +84,7 @@ class Index:
             members.sort(key=lambda i: len(lists[i]))
             per = -(-len(members) // BLOCKS)
             n_blocks = -(-len(members) // per)
-            bound = np.zeros((len(df) + 1, n_blocks), np.float32)
+            bound = np.zeros((len(self.terms) + 1, n_blocks), np.float32)
             posts: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
             for k, i in enumerate(members):
                 tf, length = Counter(lists[i]), len(lists[i])
@@ -125,7 +140,7 @@ class Index:
             left -= float(most[k])
         return [(i, s) for i, s in score.items() if s >= THRESHOLD]
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
+    def matches(self, text: str | None) -> list[tuple[object, float, float, float]]:
         """(item id, best score, question overlap, answer overlap) of verified items."""
         words = T.alnum_words(text)
         best: dict[int, tuple[float, float, float]] = {}
@@ -139,17 +154,19 @@ class Index:
             ]
             if min(shares) >= OVERLAP:
                 best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (score, *shares))
-        return sorted((self.items[i], *v) for i, v in best.items())
+        return [(self.items[i], *best[i]) for i in sorted(best)]
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of at most about INDEX_BYTES of item text each."""
+    """Indexes of at most about INDEX_BYTES of item text each; the driver holds one at a time, and
+    the words of the whole benchmark with their counts."""
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // INDEX_BYTES))
+    of = Statistics(r.text for r in rows.select("text").toLocalIterator())
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(((r.item_id, r.text) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
+        yield Index([(r.item_id, r.text) for r in part.toLocalIterator()], of)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -158,33 +175,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Every passage of every text is a query; block-max WAND retrieves all items above
     THRESHOLD.  A hit stands when the 5-word windows of the item's question and those of
     its answer lie near the passage to OVERLAP or more.  Shorter parts are one window.
+    Of several passages with one item the best scored counts.
 
-    Null or empty texts leak nothing; items without words match nothing; repeated rows
-    give repeated results; equal items all match; other columns are ignored; an empty table on
-    either side gives no rows.
+    Null or empty texts leak nothing; texts of any length are searched as a whole; items
+    without words match nothing; ids may be of any type and null; repeated rows give repeated
+    results; equal items all match; other columns are ignored; an empty table on either side
+    gives no rows.
     """
     small_batches(docs.sparkSession)
     spark, out = docs.sparkSession, None
-    id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    kind = f"doc_id {id_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
+    id_kind, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    kind = f"doc_id {id_kind}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double"
+    item_arrow = to_arrow_type(item_type)
     for index in indexes(benchmark):
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column(0), batch.column(1), strict=True) for m in held.value.matches(t.as_py())]
-                columns = [[r[i] for r in rows] for i in range(5)]
-                types = [batch.column(0).type, None, pa.float64(), pa.float64(), pa.float64()]
-                arrays = [pa.array([x.as_py() for x in columns[0]], types[0]), pa.array(columns[1], pa.int64()), *(pa.array(columns[i], types[i]) for i in (2, 3, 4))]
+                columns = [[r[0].as_py() for r in rows], *([r[i] for r in rows] for i in range(1, 5))]
+                types = [batch.column(0).type, item_arrow, pa.float64(), pa.float64(), pa.float64()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, kind.replace(f"item_id {item_kind}", "item_id bigint"))
+        part = docs.select("doc_id", "text").mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any leaked item, with their columns as they were."""
+    """The rows of docs without any leaked item, with their columns as they were, whatever their names.
+
+    Null, empty and wordless texts stay, texts of any length are searched as a whole, repeated rows stay
+    or go together; without items all rows stay, and an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     spark, at = docs.sparkSession, docs.columns.index("text")
     for index in indexes(benchmark):
