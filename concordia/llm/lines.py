@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordia.llm import texts as T
 from concordia.llm.scratch import Scratch
 
 #: Template tree: the token count, then this many leading tokens.
@@ -15,7 +16,8 @@ MIN_DOCS = 5
 MIN_TOKENS = 3
 #: A line has a template when this share of its tokens (in tenths) is constant.
 CONSTANT_TENTHS = 6
-#: Keys of eight or sixteen bytes that may be broadcast; more of them are joined by a shuffle.
+LINE, TEMPLATE = ["line_hash", "line_check"], ["template", "template_check"]
+#: Keys of eight to twenty bytes that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 def _small(df: DataFrame) -> DataFrame:
@@ -35,7 +37,10 @@ def _even(text):
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, masked, leaf, line_hash of all lines with enough tokens; tokens with a digit are <*>."""
+    """doc_id, text_hash, line_no, masked, leaf, line_hash, line_check of all lines with enough tokens; tokens with a digit are <*>.
+
+    Lines and templates are known by 96 bits: of 64 alone, some of 10^12 lines would be taken for others.
+    """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("text is not null")
     rows = rows.select("doc_id", "text_hash", _even(F.col("text")).alias("even"))
     rows = rows.withColumn("digits", F.col("even").rlike("[0-9]"))
@@ -46,7 +51,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     count = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("n_tokens", count).where(F.col("n_tokens") >= MIN_TOKENS)
     lead = F.substring_index("masked", " ", DEPTH)
-    return rows.withColumn("leaf", F.xxhash64("n_tokens", lead)).withColumn("line_hash", F.xxhash64("masked"))
+    return rows.withColumn("leaf", F.xxhash64("n_tokens", lead)).withColumn("line_hash", F.xxhash64("masked")).withColumn("line_check", F.hash("masked"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -61,54 +66,57 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     as a whole keeps its lines.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(_lines(docs).select("doc_id", "text_hash", "line_no", "leaf", "line_hash"), "lines")
+    lines = scratch.keep(_lines(docs).select("doc_id", "text_hash", "line_no", "leaf", *LINE), "lines")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
     leaves = scratch.keep(leaves.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi"))).select("leaf"), "leaves")
     # One row for each different line of a leaf that may hold a recurring template.
-    found = _lines(docs).join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "line_hash")
+    found = _lines(docs).join(_small(leaves), "leaf", "left_semi").groupBy("leaf", *LINE)
     found = scratch.keep(found.agg(F.min("masked").alias("masked"), F.count("*").alias("n")), "found")
-    tokens = found.select("leaf", "line_hash", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    tokens = found.select("leaf", *LINE, "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = tokens.withColumn("token_hash", F.xxhash64("token"))
     constant = tokens.groupBy("leaf", "place", "token_hash").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
-    marked = tokens.where("token <> '<*>'").join(constant, ["leaf", "place", "token_hash"]).select("leaf", "line_hash", "place", "token_hash")
-    shape = marked.groupBy("leaf", "line_hash").agg(F.sort_array(F.collect_list(F.struct("place", "token_hash"))).alias("kept"))
-    size = F.size(F.split("masked", " "))
+    marked = tokens.where("token <> '<*>'").join(constant, ["leaf", "place", "token_hash"]).select("leaf", *LINE, "place", "token_hash")
+    shape = marked.groupBy("leaf", *LINE).agg(F.sort_array(F.collect_list(F.struct("place", "token_hash"))).alias("kept"))
+    size, parts = F.size(F.split("masked", " ")), ("leaf", F.col("kept.place"), F.col("kept.token_hash"))
     templates = (
-        found.join(shape, ["leaf", "line_hash"])
+        found.join(shape, ["leaf", *LINE])
         .where(F.size("kept") * 10 >= size * CONSTANT_TENTHS)
-        .select("line_hash", F.xxhash64("leaf", F.col("kept.place"), F.col("kept.token_hash")).alias("template"))
+        .select(*LINE, F.xxhash64(*parts).alias("template"), F.hash(*parts).alias("template_check"))
     )
     templates = scratch.keep(templates, "templates")
-    placed = scratch.keep(lines.join(_small(templates), "line_hash").select("doc_id", "text_hash", "line_no", "template"), "placed")
-    texts = placed.groupBy("template", "text_hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    recurring = scratch.keep(recurring.select("template", "first"), "recurring")
+    placed = scratch.keep(lines.join(_small(templates), LINE).select("doc_id", "text_hash", "line_no", *TEMPLATE), "placed")
+    texts = placed.groupBy(*TEMPLATE, "text_hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    recurring = texts.groupBy(*TEMPLATE).agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
+    recurring = scratch.keep(recurring.select(*TEMPLATE, "first"), "recurring")
     scratch.drop("lines", "leaves", "found", "templates")
-    gone = placed.join(_small(recurring), "template").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    gone = placed.join(_small(recurring), TEMPLATE).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     bit = F.expr("shiftleft(1L, line_no % 62)")
     return gone.groupBy("doc_id", "text_hash", F.floor(F.col("line_no") / 62).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with recurring lines taken out of ``text``, and n_lines and n_dropped.
+def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
+    """docs with recurring lines taken out of ``text``, and the numbers of lines and of dropped lines.
 
-    Null texts stay null and empty ones empty; a text may become empty; repeated rows are
-    treated alike (a template's first place counts in each of them); other columns stay
-    as they are, whatever their names; an empty table gives no rows.
+    ``counts`` names the two numbers; a ValueError tells if docs has such a column.  Null texts
+    stay null and empty ones empty; texts of any length count as a whole and may become empty;
+    rows without an id are texts like others and come first; repeated rows are treated alike
+    (a template's first place counts in each of them); other columns stay as they are, whatever
+    their names; an empty table gives no rows.
     """
-    words = dropped_lines(docs, min_docs).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
-    words = words.toDF("__id", "__hash", "__words")
-    joined = docs.withColumn("__text_hash", F.xxhash64("text")).join(
-        words, (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left"
-    )
+    if clash := {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has {sorted(clash)} already: name the counts otherwise")
+    own, of_id, of_hash, bits, kept_lines = T.fresh([*docs.columns, *counts], "own_hash", "of_id", "of_hash", "bits_of", "kept_lines")
+    words = dropped_lines(docs, min_docs).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))))
+    words = words.toDF(of_id, of_hash, bits)
+    joined = docs.withColumn(own, F.xxhash64("text")).join(words, (F.col(own) == F.col(of_hash)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left")
     lines = F.split("text", "\n")
-    word = lambda i: F.coalesce(F.try_element_at("__words", F.floor(i / 62).cast("int")), F.lit(0).cast("long"))
+    word = lambda i: F.coalesce(F.try_element_at(bits, F.floor(i / 62).cast("int")), F.lit(0).cast("long"))
     kept = F.filter(lines, lambda _, i: F.getbit(word(i), (i % 62).cast("int")) == 0)
-    kept = F.when(F.col("__words").isNull(), lines).otherwise(kept)
-    joined = joined.withColumn("__kept", kept)
-    shown = {c: (F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns}
+    kept = F.when(F.col(bits).isNull(), lines).otherwise(kept)
+    joined = joined.withColumn(kept_lines, kept)
+    shown = {c: (F.array_join(kept_lines, "\n").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns}
     return joined.select(
         *shown.values(),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(lines) - F.size(kept_lines), F.lit(0)).cast("long").alias(counts[1]),
     )

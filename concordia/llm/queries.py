@@ -60,10 +60,10 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return lines.drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped")).select(
         "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.char_length("text").cast("long").alias("text_chars"),
         F.md5("text").alias("text_md5"),
     )
