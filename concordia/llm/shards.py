@@ -26,9 +26,10 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> DataFrame
     equal counts.  The first ranking goes by source and hash bucket, the second by
     fraction bucket, so a source that holds most rows is spread over BUCKETS tasks.
 
-    A null text has no bytes; a null source is a source; ties in the hash go by id, size
-    and checksum, so only rows that are wholly alike can trade places.  An empty table gives
-    no rows.
+    A null text has no bytes; texts of any length count as a whole; a null id or source is a
+    value like others; ties in the hash go by id, size and checksum, so only rows that are wholly
+    alike can trade places, and repeated rows are placed one by one.  Other columns are ignored;
+    an empty table gives no rows.
     """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     shuffled = hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

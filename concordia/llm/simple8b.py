@@ -170,10 +170,11 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, n_files: int | None = None) -> None:
     """Encode every whole text, append ``end_id`` to each, and write segments to ``path``.
 
-    Rows are dealt by ranges of doc_id and sorted within them (null ids first; equal ids by
-    text), so that the files are in ascending order.  A null text has the end id only;
-    repeated rows are written as often as they occur; other columns are ignored; an empty
-    table writes no segment.
+    Rows are dealt by ranges of doc_id and sorted within them (equal ids by text), so that the
+    files are in ascending order.  Rows without an id come first, by a hash of their text, in
+    as many files of their own as their share of the rows makes.  A null or empty text has the
+    end id only; texts of any length are encoded as a whole; repeated rows are written as often
+    as they occur; other columns are ignored; an empty table writes no segment.
     """
     small_batches(docs.sparkSession)
     n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -201,15 +202,21 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, n_fil
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Bounds come from the ids alone, so no text is read to find them.
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)] or [0.5], 10_000)).first()[0] or []
-    file = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id"))))
-    rows = rows.repartitionById(n_files, file.cast("int")).sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(run, "file int, segment int, n_docs bigint, n_ids bigint, payload binary")
+    quantiles = F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)] or [0.5], 10_000)
+    cuts, n, n_ids = rows.select("doc_id").agg(quantiles, F.count("*"), F.count("doc_id")).first()
+    no_id = -(-n_files * (n - n_ids) // max(n, 1))
+    rows = rows.withColumn("hash", F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))))
+    place = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * no_id), F.lit(max(no_id - 1, 0)))
+    after = F.size(F.filter(F.array(*map(F.lit, cuts or [])).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
+    file = F.coalesce(place, after + no_id).cast("int")
+    rows = rows.repartitionById(n_files + no_id, file).sortWithinPartitions("doc_id", "hash", "text")
+    made = rows.drop("hash").mapInArrow(run, "file int, segment int, n_docs bigint, n_ids bigint, payload binary")
     made.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32; null ids, repeated rows and
+    empty texts as they were written, and no rows where no segment was."""
     table = spark.read.schema("file int, segment int, n_docs bigint, n_ids bigint, payload binary").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +242,7 @@ def read_ids(spark, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write to the shared folder, then read back."""
+    """Write to the shared folder, then read back; odd rows as in write_ids and read_ids."""
     path = f"{Scratch(docs.sparkSession, 'ids').path}/ids"
     write_ids(docs, tokenizer, path)
     return read_ids(docs.sparkSession, path)
