@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next stage's docs.  All but the last keep the columns of documents.
+and read again as the next stage's docs.  All but the last keep the columns of documents,
+whatever further columns there are.  Texts of any length count as a whole, and an empty table
+passes all stages as an empty table; what becomes of odd rows is said at each.
 """
 
 from __future__ import annotations
@@ -10,37 +12,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import decontam, lines, neardup, packing, quality
+from concordia.llm import decontam, lines, neardup, packing, quality, texts
 from concordia.llm.scratch import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a quality rule go."""
+    """Documents that fail a quality rule go; null and empty texts are too short.  Repeated rows go or stay together."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first that has them."""
-    cleaned = lines.drop_templates(docs)
+    """Lines of recurring templates go from all documents but the first that has them.
+
+    Null texts stay null, a text may become empty, repeated rows are treated alike, and rows
+    without an id come first.
+    """
+    cleaned = lines.drop_templates(docs, counts=texts.fresh(docs.columns, "n_lines", "n_dropped"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Texts without words and rows without an id stay, as do repeated rows of a document that stays.
+    """
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; texts without words stay, repeated rows go or stay together."""
     return decontam.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of 1024 ids."""
+    """The documents' pieces, packed into sequences of 1024 ids; a null or empty text is the end id alone, repeated rows are packed one by one."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), size=1024, end_id=2)
 
 
