@@ -189,11 +189,11 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         return sent.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
 
     # u > v in every edge.
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{tag}0")
+    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{tag}0", spread=False)
     mark = None
     for i in itertools.count(1):
         nxt = star(star(now, True).where("u <> v").distinct(), False).where("u <> v").distinct()
-        old, now = now, scratch.keep(nxt, f"{tag}{i}")
+        old, now = now, scratch.keep(nxt, f"{tag}{i}", spread=False)
         scratch.drop(f"{tag}{i - 1}")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -258,7 +258,7 @@ def _clouds(members: DataFrame, sets_of, percent: int, scratch: Scratch) -> Data
     counted = members.groupBy("hub").agg(F.count("*").alias("k"))
     salts = F.floor(F.col("k") / SALT_ROWS).cast("int")
     salted = members.join(counted, "hub").select("hub", "id", "weight", F.pmod(F.xxhash64("id"), salts + 1).cast("int").alias("salt"))
-    sets = sets_of(scratch.keep(members.select("id").union(members.select("hub")).distinct(), "cloud-ids"), "cloud")
+    sets = sets_of(scratch.keep(members.select("id").union(members.select("hub")).distinct(), "cloud-ids", spread=False), "cloud")
     hubs = counted.select("hub", F.explode(F.sequence(F.lit(0), salts)).alias("salt")).join(sets.toDF("hub", "hub_shingles"), "hub")
     rows = salted.join(sets, "id").join(hubs, ["hub", "salt"]).select("hub", "id", "weight", "shingles", "hub_shingles")
     apart = scratch.keep(rows.mapInArrow(_differences, "hub bigint, id bigint, weight bigint, n bigint, nh bigint, only array<bigint>"), "apart")
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowd = scratch.keep(banded.join(least, "band"), "crowd")
     # In a group of variants of one text, the original shares most bands with the others; a
     # document's weight is the size of its buckets, and the heaviest member is compared with all.
-    weight = scratch.keep(crowd.groupBy("id").agg(F.sum("n").alias("weight")), "weight")
+    weight = scratch.keep(crowd.groupBy("id").agg(F.sum("n").alias("weight")), "weight", spread=False)
     crowd = scratch.keep(crowd.select("band", "id").join(weight, "id"), "weighed")
 
     def heaviest(*also):
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         sig = sketch.select("id", "sig")
         near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         near = scratch.keep(near.mapInArrow(_agree(percent), "a bigint, b bigint"), f"near-{tag}")
-        wanted = scratch.keep(near.select("a").union(near.select("b")).toDF("id").distinct(), f"wanted-{tag}")
+        wanted = scratch.keep(near.select("a").union(near.select("b")).toDF("id").distinct(), f"wanted-{tag}", spread=False)
         sets = sets_of(wanted, tag)
         held = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
         held = scratch.keep(held.mapInArrow(_confirm(percent), "a bigint, b bigint"), f"held-{tag}")
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     top = crowd.groupBy("band").agg(heaviest().alias("top")).select("band", (-F.col("top.minus")).alias("hub"))
     crowd = scratch.keep(crowd.join(top, "band").select("band", "id", "hub"), "named")
-    compared = scratch.keep(pairs_of(crowd.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))), "compared")
+    compared = scratch.keep(pairs_of(crowd.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))), "compared", spread=False)
     links = verified(compared, "hub")
     roots = components(links, scratch, "hub")
     # Buckets that still hold more than one component: pairs across components.
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")).where("k > 1")
     open_ = marked.join(sizes.select("band", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > WIDE * F.col("n")).alias("wide")), "band")
     open_ = scratch.keep(open_.select("band", "id", "hub", "wide"), "open")
-    members = scratch.keep(open_.where("wide and id <> hub").select("hub", "id").distinct().join(weight, "id"), "members")
+    members = scratch.keep(open_.where("wide and id <> hub").select("hub", "id").distinct().join(weight, "id"), "members", spread=False)
     far = []
     if not members.isEmpty():
         meet = scratch.keep(_clouds(members, sets_of, percent, scratch), "meet")
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             each = _places(rooted(meet, roots))
             groups = each.groupBy("hub", "shingle", "root").agg(F.count("*").alias("k"), heaviest("n", "d", "left").alias("top")).groupBy("hub", "shingle")
             groups = groups.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"), F.max("top").alias("top"))
-            groups = scratch.keep(groups.where("parts > 1").drop("parts"), f"groups{turn}")
+            groups = scratch.keep(groups.where("parts > 1").drop("parts"), f"groups{turn}", spread=False)
             each = scratch.keep(each.join(groups.select("hub", "shingle"), ["hub", "shingle"]), f"each{turn}")
             n_rows, n_pairs = groups.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("squares")) / 2)).first()
             if not n_rows or n_pairs <= WIDE * n_rows:
@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             top = groups.select("hub", "shingle", (-F.col("top.minus")).alias("b"), *(F.col(f"top.{c}").alias(f"{c[0]}b") for c in ("n", "d", "left")))
             found = _side(each, "a").join(top, ["hub", "shingle"]).where(_enough(percent) & (F.col("a") != F.col("b"))).select("a", "b", "ra")
             found = found.join(roots.toDF("b", "rb"), "b", "left").where(F.col("ra") != F.coalesce("rb", "b"))
-            found = scratch.keep(pairs_of(found).join(compared, ["a", "b"], "left_anti"), f"pairs{turn}")
+            found = scratch.keep(pairs_of(found).join(compared, ["a", "b"], "left_anti"), f"pairs{turn}", spread=False)
             more = verified(found, f"turn{turn}")
             compared, links = compared.union(found), links.union(more)
             n_found, n_more = found.count(), more.count()

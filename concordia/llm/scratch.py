@@ -35,6 +35,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Whether partitions stay as many as there are cores, whatever their size.
+JOIN_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not a recomputation.
 
@@ -47,10 +51,19 @@ class Scratch:
         self.names: set[str] = set()
         atexit.register(self._remove)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return the written table."""
+    def keep(self, df: DataFrame, name: str, spread: bool = True) -> DataFrame:
+        """Write df as Parquet and return the written table.
+
+        Unless ``spread``, shuffled partitions are joined up to the advisory size, so that a
+        small table is few tasks and files; else they are as many as there are cores.
+        """
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        was = self.spark.conf.get(JOIN_FIRST)
+        try:
+            self.spark.conf.set(JOIN_FIRST, str(spread).lower())
+            df.write.mode("overwrite").parquet(at)
+        finally:
+            self.spark.conf.set(JOIN_FIRST, was)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(at)
 
