@@ -20,8 +20,10 @@ def cumulative(a: DataFrame, b: DataFrame, value: str, by: list[str] | None = No
     by = by or []
     side = lambda df, x, y: df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     counts = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*by, "value").agg(F.sum("x").alias("m1"), F.sum("y").alias("m2"))
-    cuts = counts.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    # Asking for the totals too keeps this plan's shuffle equal to that of the counts, which is then read again.
+    cuts = counts.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"), F.sum(F.col("m1") + F.col("m2")).alias("all"))
+    counts = counts.join(F.broadcast(cuts)).where("m1 + m2 <= all")
+    counts = counts.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts", "all")
     totals = counts.groupBy(*by, "range").agg(F.sum("m1").alias("t1"), F.sum("m2").alias("t2"), F.min("value").alias("lowest"))
     order, whole = Window.partitionBy(*by).orderBy("range"), Window.partitionBy(*by)
     totals = totals.select(
@@ -90,18 +92,26 @@ PSI_FLOOR = 1e-4
 def psi(expected: DataFrame, actual: DataFrame, value: str, by: list[str] | None = None, bins: int = 10) -> DataFrame:
     """by..., psi, level: stability over bins whose edges are order statistics of ``expected``.
 
-    Equal edges are one, so columns with few values have fewer bins.
+    Equal edges are one, so columns with few values have fewer bins.  A value's bin follows
+    from how many expected values are smaller, so the distribution is passed once and only the
+    bins' sums are put together: what lies up to the first edge goes with the bin after it, what
+    lies beyond the last one with the bin before it.
     """
     by = by or []
     cdf = cumulative(expected, actual, value, by)
-    at = [F.floor(F.lit(i) * (F.col("n1") - 1) / bins) for i in range(bins + 1)]
-    hit = lambda k: (F.col("c1") > k) & (F.col("c1") - F.col("m1") <= k)
-    edges = cdf.groupBy(*by).agg(F.array_distinct(F.array_compact(F.array(*(F.max(F.when(hit(k), F.col("value"))) for k in at)))).alias("edges"))
-    joined = cdf.join(F.broadcast(edges), by) if by else cdf.join(F.broadcast(edges))
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    last = F.greatest(F.size("edges") - 2, F.lit(0))
-    joined = joined.withColumn("bin", F.least(F.greatest(below - 1, F.lit(0)), last))
-    counts = joined.groupBy(*by, "bin").agg((F.sum("m1") / F.max("n1")).alias("e"), (F.sum("m2") / F.max("n2")).alias("a"))
+
+    def edges_below(smaller: Column) -> Column:
+        return sum((F.floor(F.lit(i) * (F.col("n1") - 1) / bins) < smaller).cast("int") for i in range(bins + 1))
+
+    has, smaller = F.col("m1") > 0, F.col("c1") - F.col("m1")
+    sums = cdf.withColumn("bin", edges_below(smaller)).groupBy(*by, "bin").agg(
+        F.sum("m1").alias("s1"), F.sum("m2").alias("s2"), F.max("n1").alias("n1"), F.max("n2").alias("n2"),
+        F.min(F.when(has & (smaller == 0), F.col("c1"))).alias("first"), F.max(F.when(has & (F.col("c1") == F.col("n1")), smaller)).alias("last"),
+    )
+    whole = Window.partitionBy(*by)
+    sums = sums.withColumn("lowest", edges_below(F.max("first").over(whole))).withColumn("highest", edges_below(F.max("last").over(whole)))
+    sums = sums.withColumn("bin", F.least(F.greatest("bin", "lowest"), F.col("highest")))
+    counts = sums.groupBy(*by, "bin").agg((F.sum("s1") / F.max("n1")).alias("e"), (F.sum("s2") / F.max("n2")).alias("a"))
     e, a = F.greatest("e", F.lit(PSI_FLOOR)), F.greatest("a", F.lit(PSI_FLOOR))
     out = counts.groupBy(*by).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
     return out.withColumn("level", psi_level(F.col("psi")))
@@ -240,13 +250,13 @@ def drift_report(findings: DataFrame) -> DataFrame:
 
 # --- alerts -----------------------------------------------------------------
 
-#: What each kind of drift touches and what to do about it.
+#: What each kind of drift touches and what to do about it.
 IMPACT = {
-    "distribution": ("Statistical analysis", "Review data ingestion pipeline for upstream changes"),
-    "format": ("Data validation", "Check for schema changes or data format updates"),
-    "unit": ("Measurement accuracy", "Verify unit consistency across data sources"),
-    "joinability": ("Data joins", "Check for duplicate key generation or data quality issues"),
-    "confidence": ("Semantic matching", "Re-evaluate semantic mapping rules"),
+    "distribution": ("Averages, models and reports", "Ask what changed where these values come from"),
+    "format": ("Parsers and checks", "Compare old and new spellings and adapt the parser"),
+    "unit": ("Sums and comparisons", "Find out the unit that each source writes"),
+    "joinability": ("Joins on this column", "Count repeated and missing keys on either side"),
+    "confidence": ("Matching by meaning", "Infer the column's type again"),
 }
 
 
@@ -301,3 +311,36 @@ def detection_rates(results: DataFrame) -> DataFrame:
     rate = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of))
     d, f = F.col("drifted"), F.col("found")
     return results.agg(rate(d & f, d).alias("true_positive_rate"), rate(~d & f, ~d).alias("false_positive_rate"))
+
+
+# --- all detectors at once --------------------------------------------------
+
+
+def column_drift(old: DataFrame, new: DataFrame, columns: list[str] | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors for the columns that both frames have.
+
+    Distributions of numeric columns are compared by one frame of (column, value) pairs a side,
+    formats of texts by their shapes, ranges and uniqueness by the columns' figures; with
+    ``anchors`` (column, confidence) the loss of confidence that follows is a finding too.
+    """
+    from concordia.operators import anchors as columns_of
+    from concordia.operators import patterns
+
+    columns = columns or [c for c in old.columns if c in new.columns]
+    figures = ("min_num", "max_num", "unique_ratio", "null_ratio", "cardinality")
+    side = lambda df, p: columns_of.fingerprints(df, columns).select("column", *(F.col(c).alias(f"{p}_{c}") for c in figures))
+    pairs = side(old, "old").join(side(new, "new"), "column")
+    found = scale_drift(pairs).unionByName(joinability_drift(pairs))
+    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double")
+    kinds = {c: (old.schema[c].dataType.simpleString(), new.schema[c].dataType.simpleString()) for c in columns}
+    is_number = lambda k: k in numeric or k.startswith("decimal")
+    numbers = [c for c, (x, y) in kinds.items() if is_number(x) and is_number(y)]
+    if numbers:
+        long = lambda df: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers))))
+        found = found.unionByName(distribution_drift(long(old), long(new), "value", ["column"]))
+    for c in (c for c, k in kinds.items() if k == ("string", "string")):
+        shapes = patterns.pattern_changes(patterns.shape_frequencies(old, c), patterns.shape_frequencies(new, c))
+        found = found.unionByName(patterns.format_findings(c, patterns.similarity(shapes)))
+    if anchors is not None:
+        found = found.unionByName(confidence_drift(found, anchors))
+    return found

@@ -56,7 +56,7 @@ def pack_from(data: dict) -> Pack:
     return Pack(data["pack"], str(data["version"]), tuple(concepts), tuple(data.get("depends_on", ())), data.get("description", ""))
 
 
-#: The concepts that come with the engine.
+#: The concepts that come with the engine, with the labels by which columns are known.
 IDENTITY = Pack(
     "common.identity", "0.1.0",
     (

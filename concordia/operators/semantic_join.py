@@ -81,30 +81,62 @@ def _segments(n: Column, edits: Column) -> Column:
     )
 
 
+#: Keys that may differ in so many edits at most meet by what is left without as many characters.
+DELETIONS = 2
+
+
+def _without(c: Column, most: Column) -> Column:
+    """Hashes of a string and of what is left of it without one character, or two, as ``most`` allows."""
+    n = F.length(c)
+    one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)))
+    none = F.array().cast("array<string>")
+    first = F.when((most >= 1) & (n >= 1), one(c)).otherwise(none)
+    second = F.when((most >= 2) & (n >= 2), F.array_distinct(F.flatten(F.transform(first, one)))).otherwise(none)
+    return F.transform(F.array_distinct(F.concat(F.array(c), first, second)), lambda s: F.xxhash64(s))
+
+
+def _near(lefts: DataFrame, rights: DataFrame, t: float) -> DataFrame:
+    """(lk, rk) of keys that share what is left of them without some characters, of lengths that allow a match.
+
+    With e edits, of which s are changes, a key of n characters loses s + d <= e - (m - n) of them
+    to what it shares with one of m >= n: at most (1 - t) n, as many as its own length allows.
+    """
+    edits = lambda n: F.floor((1 - t) * F.col(n) + 1e-9)
+    a = lefts.select("lk", "n", F.explode(_without(F.col("lk"), edits("n"))).alias("rest"))
+    b = rights.where(edits("m") <= DELETIONS).select("rk", "m", F.explode(_without(F.col("rk"), edits("m"))).alias("rest"))
+    apart = F.abs(F.col("n") - F.col("m")) <= (1 - t) * F.greatest("n", "m") + 1e-9
+    return a.join(b, "rest").where(apart).select("lk", "rk").distinct()
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(lk, rk, similarity) of all distinct keys with edit similarity >= threshold; nothing is lost.
 
     Strings of length n whose partner may be up to n / threshold long differ in at most k
-    edits; of k + 1 segments of one, one occurs unchanged in the other, shifted by no more
-    than the edits on its sides allow.  Candidates are found by an equi-join on (length,
-    segment number, segment); the few left are compared.  Keys shorter than their segments
-    meet by length alone.
+    edits.  With k up to DELETIONS, both are equal without at most k characters of each, so candidates
+    come from an equi-join on what is left; a start that all keys share does not make them
+    candidates.  With more, of k + 1 segments of one, one occurs unchanged in the other, shifted
+    by no more than the edits on its sides allow: an equi-join on (length, segment number,
+    segment).  The few left are compared.  Keys shorter than their segments meet by length alone.
     """
     t = threshold
     n = F.length("lk")
     longest = F.floor(n / t + 1e-9)
     most = F.floor((1 - t) * longest + 1e-9).cast("int")
     lefts = left.where("lk is not null").select("lk", n.alias("n"), most.alias("k"))
+    m = F.length("rk")
+    every = right.where("rk is not null").select("rk", m.alias("m"))
+    near = _near(lefts.where(F.col("k") <= DELETIONS), every, t)
+    lefts = lefts.where(F.col("k") > DELETIONS)
     segment = F.explode(F.when(F.col("k") < F.col("n"), _segments(F.col("n"), F.col("k"))))
     indexed = lefts.where("k < n").select("lk", "n", segment.alias("s")).select(
         "lk", "n", F.col("s.i").alias("i"), F.substring(F.col("lk"), F.col("s.place"), F.col("s.width")).alias("part")
     )
     tiny = lefts.where("k >= n").select("lk", "n", F.lit(-1).alias("i"), F.lit("").alias("part"))
 
-    m = F.length("rk")
+    m = F.col("m")
     lengths = F.explode(F.sequence(F.ceil(m * t - 1e-9).cast("int"), F.floor(m / t + 1e-9).cast("int")))
-    rights = right.where("rk is not null").select("rk", m.alias("m"), lengths.alias("n")).where("n >= 0")
-    rights = rights.withColumn("k", F.floor((1 - t) * F.floor(F.col("n") / t + 1e-9) + 1e-9).cast("int"))
+    rights = every.select("rk", "m", lengths.alias("n")).where("n >= 0")
+    rights = rights.withColumn("k", F.floor((1 - t) * F.floor(F.col("n") / t + 1e-9) + 1e-9).cast("int")).where(F.col("k") > DELETIONS)
     shift = F.col("m") - F.col("n")
     probe = rights.where("k < n").select("rk", "n", "m", "k", shift.alias("d"), F.explode(_segments(F.col("n"), F.col("k"))).alias("s"))
     low = F.greatest(F.col("s.place") - F.col("s.i"), F.col("s.place") + F.col("d") - (F.col("k") - F.col("s.i")), F.lit(1))
@@ -114,7 +146,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
         "rk", "n", F.col("s.i").alias("i"), F.substring(F.col("rk"), F.col("at"), F.col("s.width")).alias("part")
     )
     probe = probe.union(rights.where("k >= n").select("rk", "n", F.lit(-1).alias("i"), F.lit("").alias("part"))).distinct()
-    found = indexed.union(tiny).join(probe, ["n", "i", "part"]).select("lk", "rk").distinct()
+    found = near.union(indexed.union(tiny).join(probe, ["n", "i", "part"]).select("lk", "rk").distinct())
     return found.withColumn("similarity", edit_similarity(F.col("lk"), F.col("rk"))).where(F.col("similarity") >= t - 1e-12)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions import entities, keys, similarity
-from concordia.operators import anchors, drift, evidence, history, inference, patterns, profile, registry, relational, temporal, units, vectors
+from concordia.operators import anchors, drift, evidence, history, inference, matching, patterns, profile, registry, relational, temporal, units, vectors
 from concordia.operators import confidence as conf
 from concordia.operators.semantic_join import META, Keys, fuzzy_pairs, match_statistics, semantic_join
 from concordia.streaming import flows
@@ -241,43 +241,31 @@ def _keys(*kinds: str) -> Keys:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Customers, and their first orders under names spelled otherwise."""
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    o = _t(spark, d, "orders").where("o_custkey % 3 <> 0").groupBy("o_custkey").agg(F.count("*").alias("orders"))
-    return c, o.select(F.concat(F.lit("  CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" ")).alias("customer"), "orders")
-
-
-_SIDES_SQL = """c AS (SELECT c_custkey AS id, c_name AS name FROM customer),
-o AS (SELECT '  CUSTOMER#' || lpad(o_custkey::VARCHAR, 9, '0') || ' ' AS customer, count(*)::BIGINT AS orders FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)"""
-
-
-def _whole_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """As _sides(), of all orders: those of a third of the customers go by names without a partner."""
+    """Customers, and their numbers of orders under names spelled otherwise, a third of which have no partner."""
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
     spelled = F.when(F.col("o_custkey") % 3 == 0, "  CLIENT#").otherwise("  CUSTOMER#")
     return c, o.select(F.concat(spelled, F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" ")).alias("customer"), "orders")
 
 
-_WHOLE_SIDES_SQL = """c AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+_SIDES_SQL = """c AS (SELECT c_custkey AS id, c_name AS name FROM customer),
 o AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN '  CLIENT#' ELSE '  CUSTOMER#' END || lpad(o_custkey::VARCHAR, 9, '0') || ' ' AS customer, count(*)::BIGINT AS orders FROM orders GROUP BY o_custkey)"""
 
 
-def _joined(how: str, name: str, sides: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]], sides_sql: str) -> None:
+def _joined(how: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c, o = sides(spark, d)
+        c, o = _sides(spark, d)
         out = semantic_join(c, o, "name", "customer", how=how, fuzzy=False, prepared=_keys("default"))
         return out.select("left_id", "right_orders", F.col(f"{META}.match_type").alias("match_type"))
 
     kind = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}[how]
-    QUERIES[name] = run
-    SQL[name] = f"""WITH {sides_sql} SELECT id AS left_id, orders AS right_orders,
+    QUERIES[f"sj_{how}"] = run
+    SQL[f"sj_{how}"] = f"""WITH {_SIDES_SQL} SELECT id AS left_id, orders AS right_orders,
 CASE WHEN id IS NULL OR orders IS NULL THEN 'no_match' ELSE 'normalized' END AS match_type FROM c {kind} o ON lower(trim(name)) = lower(trim(customer))"""
 
 
 for _how in ("inner", "left", "right", "outer"):
-    _joined(_how, f"sj_{_how}", _sides, _SIDES_SQL)
-    _joined(_how, f"sj_{_how}_whole", _whole_sides, _WHOLE_SIDES_SQL)
+    _joined(_how)
 
 
 @query("""SELECT c_custkey AS left_c_custkey, s_suppkey AS right_s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
@@ -289,35 +277,38 @@ def sj_multikey(spark: SparkSession, d: str) -> DataFrame:
     return out.select("left_c_custkey", "right_s_suppkey")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS k FROM customer WHERE c_custkey <= 60),
-b AS (SELECT s_suppkey AS sid, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'building' END AS k FROM supplier WHERE s_suppkey <= 20)
-SELECT id AS left_id, sid AS right_sid FROM a JOIN b ON lower(coalesce(a.k, '')) = lower(coalesce(b.k, ''))""")
-def sj_null_keys(spark: SparkSession, d: str) -> DataFrame:
-    a = _t(spark, d, "customer").where("c_custkey <= 60").selectExpr("c_custkey as id", "if(c_custkey % 7 = 0, null, c_mktsegment) as k")
-    b = _t(spark, d, "supplier").where("s_suppkey <= 20").selectExpr("s_suppkey as sid", "if(s_suppkey % 5 = 0, null, 'building') as k")
-    return semantic_join(a, b, "k", "k", fuzzy=False, null_equal=True, prepared=_keys("default")).select("left_id", "right_sid")
-
-
 @query("""WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN 'Key ' || c_custkey END AS k FROM customer),
 b AS (SELECT s_suppkey AS sid, CASE WHEN s_suppkey > 3 THEN ' KEY  ' || s_suppkey || ' ' END AS k FROM supplier)
 SELECT id AS left_id, sid AS right_sid FROM a JOIN b ON regexp_replace(lower(trim(a.k)), '\\s+', ' ', 'g') IS NOT DISTINCT FROM regexp_replace(lower(trim(b.k)), '\\s+', ' ', 'g')""")
-def sj_null_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+def sj_null_keys(spark: SparkSession, d: str) -> DataFrame:
     """Both whole tables: a seventh of the left keys is null, and three of the right ones, so rows grow with the customers."""
     a = _t(spark, d, "customer").selectExpr("c_custkey as id", "if(c_custkey % 7 <> 0, concat('Key ', c_custkey), null) as k")
     b = _t(spark, d, "supplier").selectExpr("s_suppkey as sid", "if(s_suppkey > 3, concat(' KEY  ', s_suppkey, ' '), null) as k")
     return semantic_join(a, b, "k", "k", fuzzy=False, null_equal=True, prepared=_keys("default")).select("left_id", "right_sid")
 
 
-@query(f"""WITH {_SIDES_SQL} SELECT count(*)::BIGINT AS rows, count(orders)::BIGINT AS matched FROM c LEFT JOIN o ON lower(trim(name)) = lower(trim(customer))""")
+@query(f"""WITH {_SIDES_SQL}, j AS (SELECT orders FROM c LEFT JOIN o ON lower(trim(name)) = lower(trim(customer)))
+SELECT count(*)::BIGINT AS rows, count(orders)::BIGINT AS matched, 1.0 AS avg_confidence, 1.0 AS median_confidence, 0::BIGINT AS below_25, 0::BIGINT AS from_25, 0::BIGINT AS from_50, count(orders)::BIGINT AS from_75 FROM j""")
 def sj_stats(spark: SparkSession, d: str) -> DataFrame:
     c, o = _sides(spark, d)
-    return match_statistics(semantic_join(c, o, "name", "customer", how="left", fuzzy=False, prepared=_keys("default"))).select("rows", "matched")
-
-
-@query(f"""WITH {_WHOLE_SIDES_SQL} SELECT count(*)::BIGINT AS rows, count(orders)::BIGINT AS matched FROM c LEFT JOIN o ON lower(trim(name)) = lower(trim(customer))""")
-def sj_stats_whole(spark: SparkSession, d: str) -> DataFrame:
-    c, o = _whole_sides(spark, d)
-    return match_statistics(semantic_join(c, o, "name", "customer", how="left", fuzzy=False, prepared=_keys("default"))).select("rows", "matched")
+    return match_statistics(semantic_join(c, o, "name", "customer", how="left", fuzzy=False, prepared=_keys("default")))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name, lower(trim(c_name)) AS k FROM customer),
+o AS (SELECT DISTINCT o_custkey AS oid, CASE o_custkey % 3 WHEN 0 THEN 'Custmer#' WHEN 1 THEN 'CUSTOMER#' ELSE 'Vendor#' END || lpad(o_custkey::VARCHAR, 9, '0') AS customer FROM orders),
+p AS (SELECT *, lower(customer) AS k FROM o), e AS (SELECT id, oid, 'normalized' AS match_type FROM c JOIN p ON c.k = p.k),
+f AS (SELECT c.id, p.oid, 'fuzzy' AS match_type FROM p JOIN c ON abs(length(c.k) - length(p.k)) <= 1 AND 1 - levenshtein(c.k, p.k) / greatest(length(c.k), length(p.k)) >= 0.92 WHERE p.oid NOT IN (SELECT oid FROM e)),
+m AS (SELECT * FROM e UNION ALL SELECT * FROM f)
+SELECT id AS left_id, oid AS right_oid, match_type FROM m UNION ALL SELECT id, NULL, 'no_match' FROM c WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT NULL, oid, 'no_match' FROM p WHERE oid NOT IN (SELECT oid FROM m)""")
+def sj_default_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """As a user calls it: normalizer and model chosen from the data, fuzzy matches scored, all rows kept.  Keys share their first characters."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("oid")).distinct()
+    spelled = F.when(F.col("oid") % 3 == 0, "Custmer#").when(F.col("oid") % 3 == 1, "CUSTOMER#").otherwise("Vendor#")
+    o = o.select("oid", F.concat(spelled, F.lpad(F.col("oid").cast("string"), 9, "0")).alias("customer"))
+    out = semantic_join(c, o, "name", "customer", how="outer", fuzzy_threshold=0.92, confidence_threshold=0.3)
+    return out.select("left_id", "right_oid", F.col(f"{META}.match_type").alias("match_type"))
 
 
 _FUZZY_SQL = """l AS (SELECT DISTINCT lower(p_name) AS k FROM part),
@@ -394,9 +385,17 @@ def profile_temporal(spark: SparkSession, d: str) -> DataFrame:
     return p.select("min", "max", F.round("range_days", 6).alias("range_days"), F.round("avg_gap", 3).alias("avg_gap"))
 
 
-@query("""WITH g AS (SELECT count(*) AS n FROM nation GROUP BY ALL) SELECT (SELECT count(*) FROM nation)::BIGINT AS rows, 0::BIGINT AS duplicate_rows, 1.0 AS score""")
+@query("""WITH f AS (SELECT c_nationkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS note,
+c_mktsegment || CASE WHEN c_custkey % 11 > 0 THEN '@example.com' ELSE '' END AS email FROM customer), g AS (SELECT c_nationkey, segment, note, email, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT count(*) AS n, 1 - count(segment) / count(*) AS s, 1 - count(note) / count(*) AS m, count(*) FILTER (NOT regexp_matches(email, '^[^ @]+@[^ @]+\\.[^ @]+$')) AS bad FROM f), r AS (SELECT sum(n - 1) AS extra FROM g)
+SELECT n::BIGINT AS rows, extra::BIGINT AS duplicate_rows, round(greatest(0, 1 - CASE WHEN s > 0.5 THEN 0.3 WHEN s > 0.2 THEN 0.1 ELSE 0 END - CASE WHEN m > 0.5 THEN 0.3 WHEN m > 0.2 THEN 0.1 ELSE 0 END
+- CASE WHEN bad > 0 THEN 0.1 ELSE 0 END - CASE WHEN extra > n * 0.1 THEN 0.2 ELSE 0 END), 6) AS score FROM t, r""")
 def frame_quality(spark: SparkSession, d: str) -> DataFrame:
-    return profile.frame_quality(_t(spark, d, "nation"))
+    """Of all customers, with gaps, repeated rows and addresses of which some are none."""
+    rows = _t(spark, d, "customer").selectExpr(
+        "c_nationkey", "if(c_custkey % 3 > 0, c_mktsegment, null) as segment", "if(c_custkey % 5 = 0, c_name, null) as note", "concat(c_mktsegment, if(c_custkey % 11 > 0, '@example.com', '')) as email"
+    )
+    return profile.frame_quality(rows).withColumn("score", F.round("score", 6))
 
 
 @query(_each(["event_id", "user_id", "event_type", "value"], "count(DISTINCT {c})::BIGINT AS cardinality, round((count(*) - count({c})) / count(*), 6) AS null_ratio, round(count(DISTINCT {c}) / count(*), 6) AS unique_ratio", "events"))
@@ -422,7 +421,9 @@ def infer_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, column string, semantic_type string, confidence double, kind string")
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b([0-9]{16})\\b', 1)) AS number FROM documents),
+s AS (SELECT doc_id, number, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN substr(number, i, 1)::INT * 2 - CASE WHEN substr(number, i, 1)::INT > 4 THEN 9 ELSE 0 END ELSE substr(number, i, 1)::INT END)) AS total FROM f)
+SELECT doc_id, number, total % 10 = 0 AS valid FROM s""")
 def luhn_valid(spark: SparkSession, d: str) -> DataFrame:
     found = F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{16})\b"), F.lit(1)))
     return _t(spark, d, "documents").select("doc_id", found.alias("number")).select("doc_id", "number", inference.luhn(F.col("number")).alias("valid"))
@@ -478,9 +479,24 @@ def concept_criteria(spark: SparkSession, d: str) -> DataFrame:
     return registry.by_criteria(table, {"identifier": True, "pii": True}, "customer").select("cid", F.round("confidence", 6).alias("confidence"), "match_type")
 
 
-@query("""SELECT 'x' AS label, 0::BIGINT AS n WHERE false""")
+@query("""SELECT * FROM (VALUES ('client_id', 2::BIGINT), ('customer_id', 2), ('price', 2)) t(label, n)""")
 def concept_duplicate_labels(spark: SparkSession, d: str) -> DataFrame:
-    return registry.duplicate_labels(registry.concepts(spark, registry.IDENTITY, registry.TIME, registry.UNITS)).select("label", "n")
+    """Labels that a pack of a shop shares with those that come with the engine, spelled otherwise."""
+    shop = registry.Pack("shop", "1.0.0", (registry.Concept("shop.buyer", ("Customer ID", "client-id", "buyer"), {}, "", None, ()), registry.Concept("shop.tag", ("Price", "tag"), {}, "", None, ())), ())
+    return registry.duplicate_labels(registry.concepts(spark, registry.IDENTITY, registry.TIME, registry.UNITS, shop)).select("label", "n")
+
+
+# --- matches of strings ------------------------------------------------------
+
+
+@query(f"""WITH {_FUZZY_SQL}, s AS (SELECT l.k AS query, r.k AS candidate, 1 - levenshtein(l.k, r.k) / greatest(length(l.k), length(r.k)) AS similarity FROM l JOIN r ON true),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, candidate)::INTEGER AS rank FROM s WHERE similarity >= 0.7 - 1e-12)
+SELECT query, candidate, round(similarity, 6) AS similarity, rank FROM t WHERE rank <= 2""")
+def match_top(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "part")
+    changed = F.when(F.length("p_name") % 2 == 0, F.replace("p_name", F.lit("e"), F.lit(""))).otherwise(F.concat(F.expr("substr(p_name, 2)"), F.lit("x")))
+    left, right = p.select(F.lower("p_name").alias("a")), p.select(F.lower(changed).alias("b"))
+    return matching.top_matches(left, right, "a", "b", 2, 0.7).select("query", "candidate", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 # --- drift ------------------------------------------------------------------
@@ -496,10 +512,13 @@ g AS (SELECT v, sum(x) AS m1, sum(y) AS m2 FROM s GROUP BY v), n AS (SELECT sum(
 c AS (SELECT v, m1, m2, sum(m1) OVER (ORDER BY v) AS c1, sum(m2) OVER (ORDER BY v) AS c2, lead(v) OVER (ORDER BY v) AS nx, n1, n2 FROM g, n)"""
 
 
-@query(f"""WITH {_CDF} SELECT round(max(abs(c1 / n1 - c2 / n2)), 6) AS statistic, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, round(1.36 * sqrt((max(n1) + max(n2)) / (max(n1) * max(n2))), 6) AS critical_value FROM c""")
+@query(f"""WITH {_CDF}, z AS (SELECT max(abs(c1 / n1 - c2 / n2)) AS d, max(n1) AS n1, max(n2) AS n2, max(abs(c1 / n1 - c2 / n2)) * sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS lam FROM c),
+p AS (SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * lam * lam)) AS p FROM z, range(1, 101) t(k))
+SELECT round(d, 6) AS statistic, n1::BIGINT AS n1, n2::BIGINT AS n2, round(1.36 * sqrt((n1 + n2) / (n1 * n2)), 6) AS critical_value,
+CASE WHEN lam < 0.2 THEN 1.0 ELSE round(greatest(0, least(1, p)), 6) END AS p_value FROM z, p""")
 def ks_test(spark: SparkSession, d: str) -> DataFrame:
     a, b = _halves(spark, d)
-    return drift.ks_test(a, b, "l_extendedprice").select(F.round("statistic", 6).alias("statistic"), "n1", "n2", F.round("critical_value", 6).alias("critical_value"))
+    return drift.ks_test(a, b, "l_extendedprice").select(F.round("statistic", 6).alias("statistic"), "n1", "n2", F.round("critical_value", 6).alias("critical_value"), F.round("p_value", 6).alias("p_value"))
 
 
 @query(f"""WITH {_CDF} SELECT round(sum(abs(c1 / n1 - c2 / n2) * (nx - v)), 3) AS distance FROM c""")
@@ -542,23 +561,43 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return side(old, "old").join(side(new, "new"), "column")
 
 
-@query()
+_FIGURES = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", min({c}) AS o_lo, max({c}) AS o_hi, count(DISTINCT {c}) / count(*) AS o_u, min({n}) AS n_lo, max({n}) AS n_hi, count(DISTINCT {n}) / count(*) AS n_u FROM lineitem"
+    for c, n in (("l_quantity", "l_quantity * 60"), ("l_extendedprice", "floor(l_extendedprice / 1000)"), ("l_discount", "l_discount"), ("l_tax", "l_tax"))
+)
+_FINDINGS = f"""p AS (SELECT *, (n_hi - n_lo) / (o_hi - o_lo) AS factor, abs(o_u - n_u) AS moved FROM ({_FIGURES})),
+f AS (SELECT "column", 'unit' AS kind, greatest(factor, 1 / factor) AS size, factor AS metric, 100 AS t1, 50 AS t2, 10 AS t3 FROM p WHERE greatest(factor, 1 / factor) > 5
+UNION ALL SELECT "column", 'joinability', moved, moved, 0.5, 0.25, 0.1 FROM p WHERE moved > 0.05),
+g AS (SELECT "column", kind, CASE WHEN size > t1 THEN 'critical' WHEN size > t2 THEN 'high' WHEN size > t3 THEN 'medium' ELSE 'low' END AS severity, metric FROM f)"""
+
+
+@query(f"""WITH {_FINDINGS} SELECT "column", kind, severity, round(metric, 6) AS metric FROM g""")
 def drift_findings(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
     found = drift.scale_drift(p).unionByName(drift.joinability_drift(p))
     return found.select("column", "kind", "severity", F.round("metric", 6).alias("metric"))
 
 
-@query()
+_RANK = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END"
+
+
+@query(f"""WITH {_FINDINGS}, r AS (SELECT *, {_RANK} AS r, CASE severity WHEN 'low' THEN 0.05 WHEN 'medium' THEN 0.1 WHEN 'high' THEN 0.2 ELSE 0.3 END AS pen FROM g)
+SELECT "column", count(*)::BIGINT AS findings, CASE WHEN max(r) >= 4 OR avg(r) >= 3.5 THEN 'critical' WHEN max(r) >= 3 OR avg(r) >= 2.5 THEN 'high' WHEN max(r) >= 2 OR avg(r) >= 1.5 THEN 'medium' ELSE 'low' END AS severity,
+round(greatest(0.1, least(1.0, 0.5 + least(count(*) / 3, 1.0) - sum(pen))), 6) AS confidence, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM r GROUP BY 1""")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
     return drift.drift_report(drift.scale_drift(p).unionByName(drift.joinability_drift(p)))
 
 
-@query()
+@query(f"""WITH {_FINDINGS}, t AS (SELECT *, CASE kind WHEN 'unit' THEN 5.0 ELSE 0.05 END::DOUBLE AS bound FROM g)
+SELECT 'alert_' || substr(sha256("column" || '|' || kind || '|' || severity), 1, 16) AS alert_id, "column", kind, severity, round(metric, 6) AS metric, round(bound * 0.7, 6) AS warning_at, round(bound * 1.5, 6) AS critical_at,
+{_RANK} * 1.5 AS impact, CASE kind WHEN 'unit' THEN 'Sums and comparisons' ELSE 'Joins on this column' END AS touches,
+CASE kind WHEN 'unit' THEN 'Find out the unit that each source writes' ELSE 'Count repeated and missing keys on either side' END AS action,
+CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END AS escalation_level FROM t""")
 def drift_alerts(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
-    return drift.alerts(drift.scale_drift(p).unionByName(drift.joinability_drift(p)), rows_affected=200_000)
+    found = drift.alerts(drift.scale_drift(p).unionByName(drift.joinability_drift(p)), rows_affected=200_000)
+    return found.select("*", *(F.round(c, 6).alias(f"{c}_") for c in ("metric", "warning_at", "critical_at"))).drop("metric", "warning_at", "critical_at").withColumnsRenamed({f"{c}_": c for c in ("metric", "warning_at", "critical_at")})
 
 
 @query("""WITH v AS (SELECT p_name AS x, upper(replace(p_name, ' ', '-')) AS y FROM part),
@@ -762,7 +801,17 @@ def evidence_query(spark: SparkSession, d: str) -> DataFrame:
     return evidence.query(_evidence(spark, d), anchor_id="sca_7", start=datetime(2024, 1, 5), end=datetime(2024, 1, 20)).select("id")
 
 
-@query()
+_KINDS = _case({k: f"'{v}'" for k, v in _SOURCES.items()})
+
+
+@query(f"""WITH {_EV}, a AS (SELECT anchor_id, count(*) AS n, coalesce(sum(ew) FILTER (w > 0), 0) AS up, coalesce(sum(ew) FILTER (w <= 0), 0) AS down, avg(d) AS dd, sum(s * ew) / sum(ew) AS rel,
+count(*) FILTER (event_type <> 'error') AS pos, count(*) FILTER (event_type = 'error') AS neg, count(*) FILTER (event_type IN ('signup', 'error')) AS human, count(*) FILTER (event_type IN ('click', 'view')) AS automated,
+bool_or(event_type = 'purchase') AS crossed, bool_or(event_type = 'signup') AS approved,
+bool_or(event_type <> 'error' AND ts >= TIMESTAMP '2024-01-31') AND bool_or(event_type = 'error' AND ts >= TIMESTAMP '2024-01-31') AS conflicting FROM x GROUP BY 1),
+c AS (SELECT *, greatest(0, least(1, ((0.5 + (up - down) * 0.3) * dd * rel + CASE WHEN n <= 1 THEN 0.5 WHEN pos >= (pos + neg) * 0.6 THEN 0.8 WHEN neg >= (pos + neg) * 0.6 THEN 0.2 ELSE 0.5 END) / 2)) AS c FROM a)
+SELECT anchor_id, round(c, 6) AS confidence, human::BIGINT AS human, automated::BIGINT AS automated, conflicting,
+CASE WHEN conflicting AND human = 0 THEN 'review' WHEN c >= 0.9 AND approved THEN 'accept' WHEN c >= 0.8 AND crossed THEN 'accept' WHEN c <= 0.2 OR (conflicting AND human > 0) THEN 'reject'
+WHEN c <= 0.3 AND n > 10 THEN 'deprecate' WHEN c >= 0.4 AND c <= 0.7 THEN 'monitor' ELSE 'review' END AS recommendation FROM c""")
 def evidence_recommendation(spark: SparkSession, d: str) -> DataFrame:
     return evidence.aggregate(_evidence(spark, d), AS_OF).select("anchor_id", F.round("confidence", 6).alias("confidence"), "human", "automated", "conflicting", "recommendation")
 
@@ -808,10 +857,10 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, round({_DIST}, 6) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
-WHERE q.vec_id % 50 = 0 AND {_DIST} <= 1.0""")
+WHERE q.vec_id % 50 = 0 AND {_DIST} <= 1.25""")
 def range_search(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    return vectors.in_range(e.where("vec_id % 50 = 0"), e, 1.0).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"))
+    return vectors.in_range(e.where("vec_id % 50 = 0"), e, 1.25).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
 @query()

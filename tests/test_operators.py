@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from concordia.operators import anchors, confidence, drift, evidence, history, inference, patterns, registry, relational, temporal, units, vectors
+from concordia.operators import anchors, confidence, drift, evidence, history, inference, matching, patterns, registry, relational, temporal, units, vectors
 from concordia.operators.semantic_join import META, Keys, fuzzy_pairs, match_statistics, semantic_join
 from concordia.plans import join_planner as planner
 
@@ -38,6 +38,44 @@ def test_fuzzy_pairs_are_those_of_brute_force(spark, left, right, t):
     assert got - {("", "")} == want
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 1200), min_size=5, max_size=40), st.lists(st.integers(0, 1200), max_size=40), st.sampled_from([0.75, 0.84, 0.9, 0.95]), st.integers(0, 9))
+def test_fuzzy_pairs_of_keys_with_a_common_start(spark, a, b, t, cut):
+    left, right = {f"customer#{i:06d}" for i in a}, {f"customer#{i:06d}"[: 15 - i % 3].replace("o", "" if i % 2 else "o")[cut % 2 :] for i in b}
+    got = {(r.lk, r.rk) for r in fuzzy_pairs(frame(spark, "lk", left, "string"), frame(spark, "rk", right, "string"), t).collect()}
+    assert got == {(x, y) for x, y in itertools.product(left, right) if 1 - lev(x, y) / max(len(x), len(y)) >= t - 1e-12}
+
+
+def test_matches(spark):
+    a, b = frame(spark, "a", ["kitten", "sitting", "flaw", None, ""], "string"), frame(spark, "b", ["mitten", "kitten", "lawn", "sittin", None], "string")
+    found = [tuple(r) for r in matching.top_matches(a, b, "a", "b", 2, 0.5).orderBy("query", "rank").collect()]
+    assert [(q, c, k) for q, c, _, k in found] == [("flaw", "lawn", 1), ("kitten", "kitten", 1), ("kitten", "mitten", 2), ("sitting", "sittin", 1), ("sitting", "kitten", 2)]
+    assert {r.query: r.candidate for r in matching.best_match(a, b, "a", "b", 0.5).collect()} == {"flaw": "lawn", "kitten": "kitten", "sitting": "sittin"}
+    pairs = spark.createDataFrame([("kitten", "sitting"), ("flaw", "lawn"), (None, "x")], "a string, b string")
+    assert [r.d for r in pairs.select(matching.banded_distance(F.col("a"), F.col("b"), 2).alias("d")).collect()] == [None, 2, None]
+    assert {r.a: (r.distance, r.mixed.is_match) for r in matching.compare(pairs, "a", "b").collect() if r.a} == {"kitten": (3, False), "flaw": (2, False)}
+
+
+def test_all_detectors_at_once(spark):
+    old = spark.range(400).selectExpr("id", "id % 7 * 1.0 as weight", "concat('ab-', id % 10) as code", "id % 5 as same")
+    new = spark.range(400).selectExpr("id", "id % 7 * 60.0 as weight", "concat('AB', id % 10, 'x') as code", "id % 5 as same")
+    anchors_ = spark.createDataFrame([("weight", 0.9), ("same", 0.9)], "column string, confidence double")
+    found = {(r["column"], r.kind) for r in drift.column_drift(old, new, anchors=anchors_).collect()}
+    assert {("weight", "unit"), ("weight", "distribution"), ("code", "format"), ("weight", "confidence")} <= found
+    assert not any(c in ("same", "id") for c, _ in found)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=60), st.lists(st.integers(-2, 15), min_size=1, max_size=60))
+def test_psi_is_that_of_plain_bins(spark, a, b):
+    s = sorted(a)
+    edges = sorted({s[math.floor(i * (len(s) - 1) / 10)] for i in range(11)})
+    place = lambda v: min(max(sum(e < v for e in edges) - 1, 0), max(len(edges) - 2, 0))
+    share = lambda x, k: max(sum(place(v) == k for v in x) / len(x), 1e-4)
+    want = sum((share(b, k) - share(a, k)) * math.log(share(b, k) / share(a, k)) for k in {place(v) for v in a + b})
+    assert drift.psi(frame(spark, "v", a), frame(spark, "v", b), "v").first().psi == pytest.approx(want)
+
+
 def test_join_kinds_and_nulls(spark):
     a = spark.createDataFrame([(1, "John@X.com "), (2, None), (3, "nobody@x.com")], "id int, email string")
     b = spark.createDataFrame([(10, "john@x.com"), (20, None), (30, "far@away.org")], "uid int, mail string")
