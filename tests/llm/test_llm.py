@@ -101,24 +101,27 @@ def test_chat_history_over_cuts(spark):
 # --- 2 ----------------------------------------------------------------------
 
 
+def plain_quality(t):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of a text."""
+    t = t or ""
+    w = words_of(t)
+    three = list(zip(w, w[1:], w[2:]))
+    n = Counter(three)
+    covered = {p for k, g in enumerate(three) if n[g] > 1 for p in (k, k + 1, k + 2)}
+    full = [x for x in t.split("\n") if words_of(x)]
+    symbols, dup = sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full))
+    base = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    chars = sum(map(len, w))
+    bad = 10 * symbols > len(w) or 10 * dup > 5 * len(full) or len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)) or 10 * t.count("!") > len(w) or chars < 2 * len(w) or chars > 20 * len(w)
+    return len(w), chars, symbols, dup, len(covered), base, not base and not bad
+
+
 def test_quality(spark):
     rows = [(i, t, "s") for i, t in enumerate(some_texts(60, size=200), 10)] + ODD
     rows += [(900, "\n".join(["same line here"] * 30), "s"), (901, "BIG!! " * 60, "s"), (902, "w### v$$$ " * 60, "s")]
     got = sorted(map(tuple, quality.judge(docs(spark, rows)).drop("rejected_by").collect()), key=str)
-    want = []
-    for i, t, _ in rows:
-        t = t or ""
-        w = words_of(t)
-        three = list(zip(w, w[1:], w[2:]))
-        n = Counter(three)
-        covered = {p for k, g in enumerate(three) if n[g] > 1 for p in (k, k + 1, k + 2)}
-        full = [x for x in t.split("\n") if words_of(x)]
-        symbols, dup = sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full))
-        base = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        chars = sum(map(len, w))
-        bad = 10 * symbols > len(w) or 10 * dup > 5 * len(full) or len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)) or 10 * t.count("!") > len(w) or chars < 2 * len(w) or chars > 20 * len(w)
-        want.append((i, len(w), chars, symbols, dup, len(covered), base, not base and not bad))
-    assert got == sorted(want, key=str)
+    assert got == sorted(((i, *plain_quality(t)) for i, t, _ in rows), key=str)
+    assert sorted(str(r.doc_id) for r in quality.keep_good(docs(spark, rows)).collect()) == sorted(str(i) for i, t, _ in rows if plain_quality(t)[-1])
     assert quality.judge(docs(spark, [])).count() == 0
 
 
@@ -620,6 +623,47 @@ def test_line_templates(spark):
     assert lines.drop_templates(docs(spark, [])).count() == 0
 
 
+def plain_line_dedup(rows, least=5):
+    """Texts without their recurring lines: the template tree over all lines in memory."""
+    parsed = []
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n") if t is not None else ()):
+            words = ["<*>" if re.search("[0-9]", w) else w for w in re.sub("[ \t\r\f\x0b]+", " ", line).strip(" ").split(" ")]
+            if len(words) >= lines.MIN_TOKENS:
+                parsed.append((i, t, no, (len(words), *words[: lines.DEPTH]), words))
+    per_leaf, support = defaultdict(list), Counter()
+    for _, t, _, leaf, words in parsed:
+        per_leaf[leaf].append(t)
+        support.update((leaf, k, w) for k, w in enumerate(words))
+    by = defaultdict(list)
+    for i, t, no, leaf, words in parsed:
+        if len(per_leaf[leaf]) >= least and len(set(per_leaf[leaf])) > 1:
+            kept = tuple((k, w) for k, w in enumerate(words) if w != "<*>" and support[leaf, k, w] >= least)
+            if len(kept) * 10 >= len(words) * lines.CONSTANT_TENTHS:
+                by[leaf, kept].append((i is not None, i, no, t))
+    gone = {(i, t, no) for places in by.values() if len({p[3] for p in places}) >= least for first in (min(p[:3] for p in places),) for _, i, no, t in places if (i, no) != first[1:]}
+    return [(i, t if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, t, no) not in gone)) for i, t in rows]
+
+
+def templated(n, seed):
+    """Texts whose lines come from few templates with variable fields, shared lines and lines of their own."""
+    rng = random.Random(seed)
+    own = iter(some_texts(20_000, seed, 14))
+    kinds = [
+        lambda: f"user {rng.randrange(99)} logged in from host h{rng.randrange(9)} at noon", lambda: "all rights kept by the  owners of this page",
+        lambda: f"please visit our page about {next(own).split()[0]} for more of it", lambda: f"\t{next(own)} ", lambda: next(own), lambda: next(own), lambda: f"{next(own)} {rng.randrange(9)}", lambda: "", lambda: "two words",
+    ]
+    return ["\n".join(rng.choice(kinds)() for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_line_dedup_against_a_plain_tree(spark):
+    texts = templated(150, 6)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[i]) for i in range(20)] + [(None, texts[3]), (600, None), (601, "")]
+    got = Counter((r.doc_id, r.text) for r in lines.drop_templates(docs(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == Counter(plain_line_dedup(rows))
+    assert sum(a[1] != b[1] for a, b in zip(rows, plain_line_dedup(rows))) > 100
+
+
 def test_line_templates_of_clashing_columns(spark):
     rows = [(i if i else None, f"the same recurring line here\n{some_texts(1, 70 + i, 9)[0]}", i, i, i, i) for i in range(8)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, __id int, __hash int, __text_hash int, own_hash int")
@@ -777,6 +821,66 @@ def test_pipeline(spark, tmp_path):
     assert set(range(30)) - short - set(range(10, 10 + len(items))) <= left
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage's rows, each judged on what the stage before it wrote, and the packed pieces at the end."""
+    import corpus_pipeline as p
+
+    items = [(i, f"{a}. {b}.") for i, (a, b) in enumerate(zip(some_texts(12, 17, 40), some_texts(12, 18, 9)))]
+    rng, rows = random.Random(3), []
+    for k, t in enumerate(templated(90, 9)):
+        rows.append((k, "\n".join([t, *some_texts(3, 40 + k, 70)])))
+    for k in range(60):
+        w = rows[rng.randrange(30)][1].split(" ")
+        for _ in range(rng.choice((0, 1, 2, 6))):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    for k, (_, t) in enumerate(items):
+        rows.append((300 + k, f"{rows[40 + k][1]}\n{t}\n{some_texts(1, 900 + k, 60)[0]}"))
+    rows += [(400, None), (401, ""), (402, "JUNK!! " * 80), (403, "too short"), (404, "word " * 3000), (405, rows[0][1])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, gone_id int, n_lines int"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2) for i, t in rows], schema).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+
+    def near(rows):
+        root = {i: c for i, (_, c) in plain_components([(i, t, "s") for i, t in rows]).items()}
+        return [(i, t) for i, t in rows if root[i] == i]
+
+    plain = [
+        lambda rows: [(i, t) for i, t in rows if plain_quality(t)[-1]], plain_line_dedup, near,
+        lambda rows: [(i, t) for i, t in rows if not plain_leaks(items, t or "")],
+    ]
+    held, counts = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), [len(rows)]
+    for (name, stage), want in zip(p.STAGES[:-1], plain, strict=True):
+        made = stage(spark, held, f"file://{tmp_path}")
+        assert made.columns == held.columns
+        made.write.parquet(f"file://{tmp_path}/{name}")
+        held = spark.read.parquet(f"file://{tmp_path}/{name}")
+        rows = want(rows)
+        got = held.collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted(rows), name
+        assert name == "quality_rules" or all(r.n_chars == len(r.text) for r in got)
+        counts.append(len(rows))
+    assert counts[1] < counts[0] and counts[3] < counts[2] and counts[4] < counts[3]
+    whole = defaultdict(list)
+    for r in p.run(spark, f"file://{tmp_path}").collect():
+        whole[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert whole.keys() == {i for i, _ in rows}
+    for i, t in rows:
+        ids, at = plain_ids(t, 2), 0
+        for k, (piece, start, length, crc) in enumerate(sorted(whole[i])):
+            assert (piece, start, crc) == (k, at, zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()))
+            at += length
+        assert at == len(ids)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert p.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_arrow_batches_of_no_rows():
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["doc_id", "text"])
     assert next(neardup._features(75)(iter([empty]))).num_rows == 0
