@@ -16,6 +16,8 @@ from concordia.llm.tokens import encoder, gathered
 
 #: Rounds join the tasks' leftovers in so many times fewer tasks.
 FAN = 16
+#: Bytes of text that are encoded at once: numbers of their pieces take some twenty times as much.
+GATHERED = 3 << 20
 #: One task packs about so many rows at most, in any round.
 ROUND_ROWS = 1_000_000
 
@@ -71,7 +73,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in gathered(batches):
+        for batch in gathered(batches, GATHERED):
             rows = []
             for d, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
                 ids = memoryview(got + end)
