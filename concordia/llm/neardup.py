@@ -25,7 +25,7 @@ WIDE = 8
 #: Shingles that this share of a cloud's members have come last among those by which members meet.
 FREQUENT = 16
 #: Members of one cloud that meet the hub's set in one task.
-SALT_ROWS = 4096
+SALT_ROWS = 128
 
 _A, _B = T.odd(1, MINIMA, np.uint32), T.odd(2, MINIMA, np.uint32)
 _MIX = T.odd(3, WIDTH, np.uint64)
@@ -253,21 +253,23 @@ def _clouds(members: DataFrame, sets_of, percent: int, scratch: Scratch) -> Data
     """(hub, id, weight, n, d, first): the shingles by which members of wide buckets can meet.
 
     Shingles that one in FREQUENT members have are counted and come last, so groups are small but
-    where members have little else.  Members are dealt by (hub, salt), so a large cloud is many tasks.
+    where members have little else.  Members are dealt by (hub, salt), so a large cloud is many tasks;
+    the pair is one key, as Spark else deals by the hub alone where a side is dealt so already.
     """
     counted = members.groupBy("hub").agg(F.count("*").alias("k"))
     salts = F.floor(F.col("k") / SALT_ROWS).cast("int")
-    salted = members.join(counted, "hub").select("hub", "id", "weight", F.pmod(F.xxhash64("id"), salts + 1).cast("int").alias("salt"))
+    salted = members.join(counted, "hub").select("hub", "id", "weight", F.struct("hub", F.pmod(F.xxhash64("id"), salts + 1).cast("int").alias("salt")).alias("slot"))
     sets = sets_of(scratch.keep(members.select("id").union(members.select("hub")).distinct(), "cloud-ids", spread=False), "cloud")
-    hubs = counted.select("hub", F.explode(F.sequence(F.lit(0), salts)).alias("salt")).join(sets.toDF("hub", "hub_shingles"), "hub")
-    rows = salted.join(sets, "id").join(hubs, ["hub", "salt"]).select("hub", "id", "weight", "shingles", "hub_shingles")
+    slots = counted.select("hub", F.explode(F.sequence(F.lit(0), salts)).alias("salt")).select("hub", F.struct("hub", "salt").alias("slot"))
+    hubs = slots.join(sets.toDF("hub", "hub_shingles"), "hub").select("slot", "hub_shingles")
+    rows = salted.join(sets, "id").join(hubs, "slot").select("hub", "id", "weight", "shingles", "hub_shingles")
     apart = scratch.keep(rows.mapInArrow(_differences, "hub bigint, id bigint, weight bigint, n bigint, nh bigint, only array<bigint>"), "apart")
     often = apart.select("hub", F.explode("only").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("times")).where("times > 1")
     often = often.join(counted, "hub").where(F.col("times") * FREQUENT >= F.col("k")).groupBy("hub")
     often = often.agg(F.sort_array(F.collect_list(F.struct("shingle", "times"))).alias("often"))
     cloud = apart.groupBy("hub").agg(F.max("n").alias("widest")).join(counted, "hub").join(often, "hub", "left")
-    cloud = cloud.select("hub", F.explode(F.sequence(F.lit(0), salts)).alias("salt"), "widest", F.col("often.shingle").alias("shingle"), F.col("often.times").alias("times"))
-    rows = apart.join(salted.select("hub", "id", "salt"), ["hub", "id"]).join(cloud, ["hub", "salt"])
+    cloud = slots.join(cloud, "hub").select("slot", "widest", F.col("often.shingle").alias("shingle"), F.col("often.times").alias("times"))
+    rows = apart.join(salted.select("hub", "id", "slot"), ["hub", "id"]).join(cloud, "slot")
     rows = rows.select("hub", "id", "weight", "n", "nh", "only", "widest", "shingle", "times")
     return rows.mapInArrow(_meetings(percent), "hub bigint, id bigint, weight bigint, n bigint, d bigint, first array<bigint>")
 

@@ -67,7 +67,7 @@ _PIECE = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 _PLACE = ["sequence_id", "offset"]
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, memory: int | None = None) -> DataFrame:
     """Encoded documents in pieces: only those longer than ``size`` are cut, into pieces of
     ``size`` ids, the first of which takes what is over."""
 
@@ -75,7 +75,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
         end = np.array([end_id], "<u4").tobytes()
         for batch in gathered(batches, GATHERED):
             rows = []
-            for d, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
+            for d, got in zip(batch.column(0).to_pylist(), encoder(tokenizer, memory).encode(batch.column(1)), strict=True):
                 ids = memoryview(got + end)
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
@@ -88,9 +88,11 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, memory: int | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
+    ``memory`` bounds the pieces of text whose ids a worker remembers, for time only.
+
     Each task packs the pieces it has by sums of squares.  Bins that are full stay; the
     pieces of all others go on to a round of FAN times fewer tasks, down to one, while a
     task's share stays below ROUND_ROWS, so memory is bounded and the waste of many
@@ -103,7 +105,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     """
     small_batches(docs.sparkSession)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
-    pieces = scratch.keep(cut(docs, tokenizer, end_id, size), "pieces")
+    pieces = scratch.keep(cut(docs, tokenizer, end_id, size, memory), "pieces")
 
     def round_of(number: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,8 @@ class Encoder:
     pass the library whole.  Ids are little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([_UNCUT, *special])
@@ -130,15 +131,15 @@ class Encoder:
         ends = np.concatenate(([0], stop))[np.asarray(lists.offsets)]
         for k, i in enumerate(at.tolist()):
             out[i] = raw[4 * ends[k] : 4 * ends[k + 1]]
-        if len(known) > MEMORY:
+        if len(known) > (self.memory or MEMORY):
             self.older, self.known = known, {}
         return out
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One per worker and tokenizer."""
-    return Encoder(path)
+def encoder(path: str, memory: int | None = None) -> Encoder:
+    """One per worker and tokenizer, with that many pieces remembered in a generation (MEMORY, if not given)."""
+    return Encoder(path, memory)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
