@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences of 1024 ids; a null or empty text is the end id alone, repeated rows are packed one by one."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), size=1024, end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), size=1024, end_id=2, memory=200_000)
 
 
 STAGES = [
