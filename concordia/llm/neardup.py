@@ -264,7 +264,8 @@ def _clouds(members: DataFrame, sets_of, percent: int, scratch: Scratch) -> Data
     hubs = slots.join(sets.toDF("hub", "hub_shingles"), "hub").select("slot", "hub_shingles")
     rows = salted.join(sets, "id").join(hubs, "slot").select("hub", "id", "weight", "shingles", "hub_shingles")
     apart = scratch.keep(rows.mapInArrow(_differences, "hub bigint, id bigint, weight bigint, n bigint, nh bigint, only array<bigint>"), "apart")
-    often = apart.select("hub", F.explode("only").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # Dealt evenly again, as members of one slot lie together.
+    often = apart.select("hub", "id", "only").repartition("hub", "id").select("hub", F.explode("only").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("times")).where("times > 1")
     often = often.join(counted, "hub").where(F.col("times") * FREQUENT >= F.col("k")).groupBy("hub")
     often = often.agg(F.sort_array(F.collect_list(F.struct("shingle", "times"))).alias("often"))
     cloud = apart.groupBy("hub").agg(F.max("n").alias("widest")).join(counted, "hub").join(often, "hub", "left")
