@@ -193,7 +193,16 @@ def lev_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _name_pairs(spark, d).select("a", "b", F.levenshtein(a, b).cast("long").alias("distance"), F.round(similarity.edit_similarity(a, b), 6).alias("similarity"))
 
 
-@query()
+#: Jaro with all places written out: b's first free equal character within reach of each character of a.
+_JARO = f"""w AS (SELECT x.n AS a, y.n AS b, greatest(greatest(length(x.n), length(y.n)) // 2 - 1, 0) AS reach FROM {_NAMES} x JOIN {_NAMES} y ON x.n < y.n),
+h AS (SELECT *, list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]), lambda met, i: list_append(met, coalesce(list_min(list_filter(
+range(greatest(1, i[1] - reach), least(length(b), i[1] + reach) + 1), lambda j: b[j] = a[i[1]] AND NOT list_contains(met, j))), 0)), []::BIGINT[]) AS hits FROM w),
+t AS (SELECT a, b, list_filter(range(1, length(a) + 1), lambda i: hits[i] > 0) AS ha, list_sort(list_filter(hits, lambda j: j > 0)) AS hb FROM h),
+u AS (SELECT a, b, len(ha) AS m, len(list_filter(range(1, len(ha) + 1), lambda k: a[ha[k]] <> b[hb[k]])) / 2 AS swapped FROM t),
+j AS (SELECT a, b, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - swapped) / m) / 3 END AS j, len(list_filter(range(1, 5), lambda k: k <= least(length(a), length(b)) AND left(a, k) = left(b, k))) AS k FROM u)"""
+
+
+@query(f"""WITH {_JARO} SELECT a, b, round(j, 6) AS jaro, round(j + k * 0.1 * (1 - j), 6) AS jaro_winkler FROM j""")
 def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _name_pairs(spark, d).select("a", "b", F.round(similarity.jaro(a, b), 6).alias("jaro"), F.round(similarity.jaro_winkler(a, b), 6).alias("jaro_winkler"))
@@ -206,7 +215,19 @@ def phonetic_codes(spark: SparkSession, d: str) -> DataFrame:
     return names.select("p_name", similarity.soundex(n).alias("soundex"), similarity.metaphone(n).alias("metaphone"), similarity.nysiis(n).alias("nysiis"))
 
 
-@query()
+def _soundex_sql(n: str) -> str:
+    """Soundex by its rule: h and w are passed over, runs of one digit become one, vowels go."""
+    digits = dict(zip("bfpvcgjkqsxzdtlmnr", "111122222222334556", strict=True))
+    letters = "abcdefgijklmnopqrstuvxyz"
+    code = f"translate(lower({n}[1]) || regexp_replace(regexp_replace(lower({n}[2:]), '[^a-z]', '', 'g'), '[hw]', '', 'g'), '{letters}hw', '{''.join(digits.get(c, '0') for c in letters)}00')"
+    for digit in "123456":
+        code = f"regexp_replace({code}, '{digit}+', '{digit}', 'g')"
+    return f"upper({n}[1]) || rpad(left(replace({code}[2:], '0', ''), 3), 3, '0')"
+
+
+@query(f"""WITH {_JARO}, q AS (SELECT a, b, j + k * 0.1 * (1 - j) AS jw, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ed, ({_soundex_sql('a')} = {_soundex_sql('b')})::INT AS ph FROM j),
+r AS (SELECT *, (jw + ed + ph) / 3 AS m, (jw * 0.4 + ed * 0.4 + ph * 0.2) / (0.4 + 0.4 + 0.2) AS s FROM q)
+SELECT a, b, round(s, 6) AS similarity, round(m * 0.7 + (1 - least(sqrt((pow(jw - m, 2) + pow(ed - m, 2) + pow(ph - m, 2)) / 3), 1)) * 0.3, 6) AS confidence, s >= 0.75 AS is_match FROM r""")
 def fuzzy_mixed(spark: SparkSession, d: str) -> DataFrame:
     m = similarity.mixed(F.col("a"), F.col("b"))
     return _name_pairs(spark, d).select("a", "b", m.alias("m")).select("a", "b", F.round("m.similarity", 6).alias("similarity"), F.round("m.confidence", 6).alias("confidence"), F.col("m.is_match").alias("is_match"))
@@ -465,17 +486,38 @@ def anchor_evolution(spark: SparkSession, d: str) -> DataFrame:
     return anchors.evolution(s).select("snapshot", "added", "removed", F.round("stability", 6).alias("stability"))
 
 
-@query()
+_PACKS = (registry.IDENTITY, registry.TIME, registry.UNITS)
+_LABELS = ", ".join(f"('{c.cid}', '{label}')" for p in _PACKS for c in p.concepts for label in c.labels)
+
+
+@query(f"""WITH l(cid, label) AS (VALUES {_LABELS}), n AS (SELECT DISTINCT regexp_replace(column_name, '^[a-z]_', '') AS name FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'events')),
+s AS (SELECT name, cid, label, greatest(len(list_intersect(string_split(name, '_'), string_split(label, '_'))) / len(list_distinct(list_concat(string_split(name, '_'), string_split(label, '_')))),
+1 - levenshtein(name, label) / greatest(length(name), length(label))) AS score FROM n, l),
+e AS (SELECT DISTINCT name, cid FROM s WHERE name = label)
+SELECT name, cid, 1.0 AS confidence, 'exact' AS match_type FROM e UNION ALL
+SELECT name, cid, round(max(score), 6), 'fuzzy' FROM s WHERE score > 0.5 AND name NOT IN (SELECT name FROM e) GROUP BY name, cid""")
 def concept_lookup(spark: SparkSession, d: str) -> DataFrame:
-    table = registry.concepts(spark, registry.IDENTITY, registry.TIME, registry.UNITS)
+    table = registry.concepts(spark, *_PACKS)
     names = spark.createDataFrame([(c,) for t in ("customer", "orders", "events") for c in _t(spark, d, t).columns], "name string")
     stripped = names.select(F.regexp_replace("name", "^[a-z]_", "").alias("name")).distinct()
     return registry.lookup(stripped, table).select("name", "cid", F.round("confidence", 6).alias("confidence"), "match_type")
 
 
-@query()
+def _criteria(c: registry.Concept) -> str:
+    labels = ", ".join(f"'{label}'" for label in c.labels)
+    rules = ", ".join(f"{{'kind': '{r.kind}', 'pattern': '{r.pattern}', 'confidence': {r.confidence}::DOUBLE}}" for r in c.rules)
+    return f"('{c.cid}', [{labels}], {sum(c.facets.get(f) is True for f in ('pii', 'identifier'))}, [{rules}])"
+
+
+_CRITERIA = ", ".join(_criteria(c) for p in _PACKS for c in p.concepts)
+
+
+@query(f"""WITH t(cid, labels, facets, rules) AS (VALUES {_CRITERIA}),
+s AS (SELECT cid, facets / 2 AS f, list_max(list_transform(labels, lambda x: CASE WHEN regexp_matches(x, 'customer', 'i') THEN 0.9 ELSE 1 - levenshtein(x, 'customer') / greatest(length(x), 8) END)) AS p,
+coalesce(list_max(list_transform(rules, lambda r: CASE WHEN r.kind IN ('name', 'facet') AND regexp_matches('customer', r.pattern) THEN r.confidence ELSE 0 END)), 0) AS r FROM t)
+SELECT cid, round(least(f + p * 0.8 + r * 0.9, 1), 6) AS confidence, CASE WHEN r > 0 THEN 'inference' ELSE 'semantic' END AS match_type FROM s WHERE f + p * 0.8 + r * 0.9 > 0.3""")
 def concept_criteria(spark: SparkSession, d: str) -> DataFrame:
-    table = registry.concepts(spark, registry.IDENTITY, registry.TIME, registry.UNITS)
+    table = registry.concepts(spark, *_PACKS)
     return registry.by_criteria(table, {"identifier": True, "pii": True}, "customer").select("cid", F.round("confidence", 6).alias("confidence"), "match_type")
 
 
@@ -830,7 +872,22 @@ def evidence_slices(spark: SparkSession, d: str) -> DataFrame:
     return evidence.slices(_evidence(spark, d), 24).select("anchor_id", "slice", "events")
 
 
-@query()
+_RULE = evidence.RULES
+_STATES = f"""CASE WHEN state IN ('proposed', 'monitoring') THEN CASE WHEN event_type = 'signup' THEN ['accepted', 'human_approval'] WHEN event_type = 'error' THEN ['rejected', 'human_rejection']
+WHEN confidence >= {_RULE['accept']} THEN ['accepted', 'confidence_threshold'] WHEN confidence <= {_RULE['reject']} THEN ['rejected', 'confidence_threshold']
+WHEN state = 'proposed' THEN CASE WHEN confidence BETWEEN 0.4 AND 0.7 THEN ['monitoring', 'evidence_accumulation'] END
+WHEN epoch_us(ts) - epoch_us(since) >= {_RULE['monitoring_days']} * 86400e6 THEN CASE WHEN confidence < 0.5 THEN ['deprecated', 'temporal_decay'] ELSE ['accepted', 'evidence_accumulation'] END END
+WHEN state = 'accepted' THEN CASE WHEN event_type = 'error' THEN ['deprecated', 'human_rejection'] WHEN confidence <= {_RULE['reject']} THEN ['deprecated', 'confidence_threshold']
+WHEN confidence <= 0.3 AND step > 10 THEN ['deprecated', 'evidence_accumulation'] END
+WHEN event_type = 'signup' AND confidence > 0.5 THEN ['monitoring', 'manual_override'] END"""
+
+
+@query(f"""WITH RECURSIVE {_EV}, r AS (SELECT event_id, anchor_id, ts, event_type, count(*) OVER o AS n, coalesce(sum(CASE WHEN w > 0 THEN ew ELSE 0 END) OVER o, 0) AS up, sum(CASE WHEN w <= 0 THEN ew ELSE 0 END) OVER o AS down, avg(d) OVER o AS dd, sum(s * ew) OVER o / sum(ew) OVER o AS rel,
+sum((event_type <> 'error')::INT) OVER o AS pos, sum((event_type = 'error')::INT) OVER o AS neg FROM x WINDOW o AS (PARTITION BY anchor_id ORDER BY ts, event_id::VARCHAR ROWS UNBOUNDED PRECEDING)),
+c AS MATERIALIZED (SELECT event_id::VARCHAR AS id, anchor_id, ts, event_type, n AS step, greatest(0, least(1, ((0.5 + (up - down) * 0.3) * dd * rel + CASE WHEN n <= 1 THEN 0.5 WHEN pos >= (pos + neg) * 0.6 THEN 0.8 WHEN neg >= (pos + neg) * 0.6 THEN 0.2 ELSE 0.5 END) / 2)) AS confidence FROM r),
+m AS (SELECT anchor_id, 0::BIGINT AS step, 'proposed' AS state, ts AS since, NULL::VARCHAR AS id, NULL::VARCHAR AS from_state, NULL::VARCHAR[] AS t FROM c WHERE step = 1
+UNION ALL SELECT anchor_id, step, coalesce(t[1], state), CASE WHEN t IS NULL THEN since ELSE ts END, id, state, t FROM (SELECT *, {_STATES} AS t FROM (SELECT c.*, m.state, m.since FROM m JOIN c ON c.anchor_id = m.anchor_id AND c.step = m.step + 1)))
+SELECT anchor_id, id, from_state, t[1] AS to_state, t[2] AS trigger, since AS "at" FROM m WHERE t IS NOT NULL""")
 def evidence_states(spark: SparkSession, d: str) -> DataFrame:
     return evidence.transitions(evidence.scored_steps(_evidence(spark, d), AS_OF))
 
