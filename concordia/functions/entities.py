@@ -276,6 +276,9 @@ def _without(text: Column, found: Column) -> Column:
 
 
 _TAIL = r"\b([A-Za-z]{2}|[A-Za-z\s]+)\s*$"
+_FIVE = "[0-9]{5}(?:-[0-9]{4})?"
+#: The last ZIP and what is before it; a number that leads to further words is the house's.
+_ZIP = rf"^(?:(.+)\b|(?={_FIVE}\b(?!\s+\S)))({_FIVE})\b"
 _UNIT = rf"(?i)\b({UNITS})\.?\s*([a-z0-9-]+)\b"
 
 
@@ -290,9 +293,8 @@ def postal(c: Column) -> Column:
     """
     original = F.trim(c)
     text = title_case(F.regexp_replace(original, r"\s+", " "))
-    zip_code = lambda t: F.regexp_extract(t, r"\b([0-9]{5}(?:-[0-9]{4})?)\b", 1)
     state = lambda t: look(_STATE, F.trim(F.lower(F.regexp_extract(t, _TAIL, 1))))
-    first = let(text, lambda t: let(zip_code(t), lambda z: F.struct(z.alias("zip"), _without(t, z).alias("rest"))))
+    first = let(text, lambda t: F.struct(F.regexp_extract(t, _ZIP, 2).alias("zip"), F.trim(F.regexp_replace(t, _ZIP, "$1")).alias("rest")))
     second = let(first, lambda p: let(state(p["rest"]), lambda s: F.struct(
         p["zip"].alias("zip"), s.alias("state"), F.when(s.isNotNull(), _without(p["rest"], F.regexp_extract(p["rest"], _TAIL, 0))).otherwise(p["rest"]).alias("rest"))))
     third = let(second, lambda p: let(F.filter(F.transform(F.split(p["rest"], ","), lambda x: F.trim(x)), lambda x: x != ""), lambda parts: F.struct(

@@ -100,6 +100,25 @@ def test_postal(spark):
     assert "10 Oak Ave, Boston" in one(spark, entities.postal_variations(F.col("v")), v="10 Oak Avenue, Boston, MA")
 
 
+@pytest.mark.parametrize(
+    ("value", "house", "zip_code"),
+    [
+        ("10000 main st, springfield, CA 90210", "10000", "90210"),
+        ("90210 main st, springfield, CA 90210", "90210", "90210"),
+        ("190210 main st, springfield, CA 90210", "190210", "90210"),
+        ("10000 main st, springfield, CA", "10000", None),
+        ("7 main st, springfield, 90210 CA", "7", "90210"),
+    ],
+)
+def test_postal_house_numbers_of_five_digits(spark, value, house, zip_code):
+    p = one(spark, entities.postal(F.col("v")), v=value)
+    assert (p.street_number, p.street_name, p.street_type, p.city, p.state, p.postal_code) == (house, "Main", "Street", "Springfield", "California", zip_code)
+
+
+def test_postal_zip_alone(spark):
+    assert one(spark, entities.postal(F.col("v")), v="90210").postal_code == "90210"
+
+
 @pytest.mark.parametrize(
     ("value", "kind"),
     [
