@@ -206,7 +206,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, n_fil
     cuts, n, n_ids = rows.select("doc_id").agg(quantiles, F.count("*"), F.count("doc_id")).first()
     no_id = -(-n_files * (n - n_ids) // max(n, 1))
     rows = rows.withColumn("hash", F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))))
-    place = F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * no_id), F.lit(max(no_id - 1, 0)))
+    # least() passes over nulls, so only rows without an id may ask for it.
+    place = F.when(F.col("hash").isNotNull(), F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * no_id), F.lit(max(no_id - 1, 0))))
     after = F.size(F.filter(F.array(*map(F.lit, cuts or [])).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
     file = F.coalesce(place, after + no_id).cast("int")
     rows = rows.repartitionById(n_files + no_id, file).sortWithinPartitions("doc_id", "hash", "text")

@@ -422,6 +422,16 @@ def test_ids_round_trip(spark):
     assert simple8b.round_trip(docs(spark, []), BPE).count() == 0
 
 
+def test_ids_are_dealt_to_files_by_id(spark, tmp_path):
+    rows = [(i, t, "s") for i, t in enumerate(some_texts(80), 100)]
+    for more, first in (([], 0), ([(None, t, "s") for t in some_texts(40, 6)], 2)):
+        simple8b.write_ids(docs(spark, rows + more), BPE, f"{tmp_path}/ids{first}", n_files=4)
+        held = {r.file: simple8b.read_segment(bytes(r.payload))[0] for r in spark.read.parquet(f"{tmp_path}/ids{first}").collect()}
+        assert sorted(d for f, ids in held.items() if f < first for d in ids if d is not None) == []
+        named = [ids for f, ids in sorted(held.items()) if f >= first]
+        assert len(named) == 4 and max(map(len, named)) <= 30 and sum(named, []) == [r[0] for r in rows]
+
+
 def test_packing(spark):
     rows = [(i, t, "s") for i, t in enumerate(some_texts(300, size=300), 100)] + ODD[:4] + ODD[5:]
     twice = packing.pack_documents(docs(spark, [ODD[3]] * 3), BPE, size=256).collect()
