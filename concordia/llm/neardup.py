@@ -215,6 +215,14 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["hub", "id", "weight", "n", "nh", "only"])
 
 
+def _frequent(slot: pa.Table) -> pa.Table:
+    """hub, shingle and times of the differences that two members of a slot, and one in 2 * FREQUENT of them, have."""
+    shingle, times = np.unique(slot.column("only").combine_chunks().flatten().to_numpy(), return_counts=True)
+    held = times >= max(2, slot.num_rows / (2 * FREQUENT))
+    hub = np.full(np.count_nonzero(held), slot.column("hub")[0].as_py(), np.int64)
+    return pa.table({"hub": hub, "shingle": shingle[held], "times": times[held].astype(np.int64)})
+
+
 def _meetings(percent: int):
     """hub, id, weight, n, d and the first elements of the difference, rarest of the cloud first.
 
@@ -253,7 +261,9 @@ def _clouds(members: DataFrame, sets_of, percent: int, scratch: Scratch) -> Data
     """(hub, id, weight, n, d, first): the shingles by which members of wide buckets can meet.
 
     Shingles that one in FREQUENT members have are counted and come last, so groups are small but
-    where members have little else.  Members are dealt by (hub, salt), so a large cloud is many tasks;
+    where members have little else.  They are counted inside slots, without a row for each member's
+    shingles: what is frequent in a cloud is so in some slot, and a count that lacks slots where it is
+    seldom changes the order alone, which may be any.  Members are dealt by (hub, salt), so a large cloud is many tasks;
     the pair is one key, as Spark else deals by the hub alone where a side is dealt so already.
     """
     counted = members.groupBy("hub").agg(F.count("*").alias("k"))
@@ -264,20 +274,23 @@ def _clouds(members: DataFrame, sets_of, percent: int, scratch: Scratch) -> Data
     hubs = slots.join(sets.toDF("hub", "hub_shingles"), "hub").select("slot", "hub_shingles")
     rows = salted.join(sets, "id").join(hubs, "slot").select("hub", "id", "weight", "shingles", "hub_shingles")
     apart = scratch.keep(rows.mapInArrow(_differences, "hub bigint, id bigint, weight bigint, n bigint, nh bigint, only array<bigint>"), "apart")
-    # Dealt evenly again, as members of one slot lie together.
-    often = apart.select("hub", "id", "only").repartition("hub", "id").select("hub", F.explode("only").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("times")).where("times > 1")
-    often = often.join(counted, "hub").where(F.col("times") * FREQUENT >= F.col("k")).groupBy("hub")
+    slotted = apart.join(salted.select("hub", "id", "slot"), ["hub", "id"])
+    often = slotted.select("slot", "hub", "only").groupBy("slot").applyInArrow(_frequent, "hub bigint, shingle bigint, times bigint")
+    often = often.groupBy("hub", "shingle").agg(F.sum("times").alias("times")).join(counted, "hub").where(F.col("times") * FREQUENT >= F.col("k")).groupBy("hub")
     often = often.agg(F.sort_array(F.collect_list(F.struct("shingle", "times"))).alias("often"))
     cloud = apart.groupBy("hub").agg(F.max("n").alias("widest")).join(counted, "hub").join(often, "hub", "left")
     cloud = slots.join(cloud, "hub").select("slot", "widest", F.col("often.shingle").alias("shingle"), F.col("often.times").alias("times"))
-    rows = apart.join(salted.select("hub", "id", "slot"), ["hub", "id"]).join(cloud, "slot")
+    rows = slotted.join(cloud, "slot")
     rows = rows.select("hub", "id", "weight", "n", "nh", "only", "widest", "shingle", "times")
     return rows.mapInArrow(_meetings(percent), "hub bigint, id bigint, weight bigint, n bigint, d bigint, first array<bigint>")
 
 
 def _places(meet: DataFrame) -> DataFrame:
-    """(hub, shingle, id, weight, root, n, d, left); left counts a member's elements from here on."""
-    each = meet.select("hub", "id", "weight", "root", "n", "d", F.posexplode("first").alias("place", "shingle"))
+    """(hub, shingle, id, weight, n, d, left); left counts a member's elements from here on.
+
+    Members are dealt evenly before, as those of one slot lie together.
+    """
+    each = meet.repartition("hub", "id").select("hub", "id", "weight", "n", "d", F.posexplode("first").alias("place", "shingle"))
     return each.withColumn("left", F.col("d") - F.col("place")).drop("place")
 
 
@@ -372,12 +385,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not members.isEmpty():
         meet = scratch.keep(_clouds(members, sets_of, percent, scratch), "meet")
         scratch.drop("apart", "sets-cloud", "cloud-ids")
+        # Made once; later turns read what the turn before has left of it, as groups only lose parts.
+        places = scratch.keep(_places(meet), "places")
         for turn in itertools.count():
-            each = _places(rooted(meet, roots))
+            each = rooted(places, roots)
             groups = each.groupBy("hub", "shingle", "root").agg(F.count("*").alias("k"), heaviest("n", "d", "left").alias("top")).groupBy("hub", "shingle")
             groups = groups.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"), F.max("top").alias("top"))
             groups = scratch.keep(groups.where("parts > 1").drop("parts"), f"groups{turn}", spread=False)
             each = scratch.keep(each.join(groups.select("hub", "shingle"), ["hub", "shingle"]), f"each{turn}")
+            places = each.drop("root")
             n_rows, n_pairs = groups.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("squares")) / 2)).first()
             if not n_rows or n_pairs <= WIDE * n_rows:
                 break
@@ -393,7 +409,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             if n_more:
                 roots = components(links, scratch, f"turn{turn}")
             if n_more * WIDE <= n_found:
-                each = rooted(each.drop("root"), roots)
+                each = rooted(places, roots)
                 break
         far.append(_side(each, "a").join(_side(each, "b"), ["hub", "shingle"]).where((F.col("ra") < F.col("rb")) & _enough(percent)).select("a", "b"))
     narrow = rooted(open_.where("not wide").select("band", "id"), roots)

@@ -250,6 +250,29 @@ def test_clouds_of_variants(spark, monkeypatch, percent, wide, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows, percent)
 
 
+def test_shingles_of_clouds_are_listed_once(spark, monkeypatch):
+    """However many turns there are, each member's shingles become rows once."""
+    monkeypatch.setattr(neardup, "WIDE", 0)
+    plans, keep = {}, neardup.Scratch.keep
+
+    def kept(self, df, name, **more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(self, df, name, **more)
+
+    monkeypatch.setattr(neardup.Scratch, "keep", kept)
+    rows = [(i, t, "s") for i, t in enumerate(clouds(75), 1)]
+    neardup.near_duplicates(docs(spark, rows))
+    assert "groups0" in plans
+    assert sum(p.count("posexplode(") for p in plans.values()) == 1
+    assert not any("explode(only" in p for p in plans.values())
+
+
+def test_frequent_differences_of_a_slot():
+    only = pa.array([[1, 2, 3], [2, 3], [3, 9], []], pa.list_(pa.int64()))
+    got = neardup._frequent(pa.table({"hub": [7] * 4, "only": only}))
+    assert got.to_pylist() == [{"hub": 7, "shingle": 2, "times": 2}, {"hub": 7, "shingle": 3, "times": 3}]
+
+
 def test_differences_from_a_hub():
     """The shared part of two differences is what a link needs exactly, and meets within the first elements."""
     rng = np.random.default_rng(4)
