@@ -425,6 +425,45 @@ def test_encoder_forgets_and_knows_again(monkeypatch):
             assert e.encode([t])[0] == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_library_gets_many_new_words_at_once():
+    """One string for each new word was most of the time of operators 6 and 7."""
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.strings = tokenizer, 0
+
+        def encode(self, text, **how):
+            self.strings += 1
+            return self.tokenizer.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.strings += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    e = tokens.Encoder(BPE)
+    plain, e.tokenizer = e.tokenizer, Counting(e.tokenizer)
+    words = ["".join(random.Random(i).choices("etaoiné", k=9)) for i in range(1000)]
+    texts = [" ".join(words), "\n".join(w + "., "[i % 3 :] + w.upper() + "!" for i, w in enumerate(words))]
+    assert e.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.tokenizer.strings <= 100
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_pieces_of_one_hash_are_told_apart(monkeypatch, bits):
+    right = tokens._hashes
+    monkeypatch.setattr(tokens, "_hashes", lambda pieces: right(pieces) & np.uint64((1 << bits) - 1))
+    e = tokens.Encoder(BPE, 60)
+    for t in some_texts(20) * 2:
+        assert e.encode([t, t + " end"])[0] == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_marks_after_every_latin_character_and_long_pieces():
+    e = tokens.Encoder(BPE)
+    texts = [f"x{chr(c)}.. {chr(c)}, {chr(c)}\n{chr(c)}!?\n{chr(c)}'s." for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]]
+    texts += [f"{'ab' * n}{'.' * n} {'ab' * n}x{'é' * n}{'ab' * n}," for n in range(1, 40)]
+    assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def plain_ids(text, end):
     return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids + [end]
 
