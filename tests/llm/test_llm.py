@@ -522,6 +522,28 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
+def test_packing_encodes_a_number_once_whatever_marks_follow():
+    """Each of the 900 pieces was encoded by itself; they are 300 words and three marks."""
+
+    class Lines:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, []
+
+        def encode(self, text, **how):
+            self.seen.append(text)
+            return self.tokenizer.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen += [line for t in texts for line in t.splitlines()]
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    e = tokens.Encoder(BPE, 200)
+    plain, e.tokenizer = e.tokenizer, Lines(e.tokenizer)
+    texts = ["On " + " ".join(f"n{i * i}{mark}" for i in range(300)) for mark in (",", "!", "**")]
+    assert e.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(e.tokenizer.seen) <= 304
+
+
 @given(st.lists(st.integers(1, 64), max_size=120))
 @settings(max_examples=60, deadline=None)
 def test_bins_hold_everything_once(lengths):
