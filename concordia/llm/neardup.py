@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = scratch.keep(made, "member")
     named = member.where("doc_id is not null")
     n, n_ids = named.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    scratch.expect(n)
     once = (lambda df: df) if n == n_ids else (lambda df: df.dropDuplicates(["id"]))
     heads = scratch.keep(named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "heads")
     all_sketches = named.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands")
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     def sets_of(ids: DataFrame, tag: str) -> DataFrame:
         texts = semi(docs.select(F.col("doc_id").alias("id"), "text"), ids)
-        return scratch.keep(once(texts.mapInArrow(_sets, "id bigint, shingles binary")), f"sets-{tag}")
+        return scratch.keep(once(texts.mapInArrow(_sets, "id bigint, shingles binary")), f"sets-{tag}", join=False)
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         sig = sketch.select("id", "sig")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.scratch import Scratch, small_batches
-from concordia.llm.tokens import encoder, gathered
+from concordia.llm.tokens import encoder, gathered, release
 
 #: Rounds join the tasks' leftovers in so many times fewer tasks.
 FAN = 16
@@ -67,9 +67,8 @@ _PIECE = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 _PLACE = ["sequence_id", "offset"]
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, memory: int | None = None) -> DataFrame:
-    """Encoded documents in pieces: only those longer than ``size`` are cut, into pieces of
-    ``size`` ids, the first of which takes what is over."""
+def _cutter(tokenizer: str, end_id: int, size: int, memory: int | None):
+    """Pieces of every document; what a batch took is given back before the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
@@ -84,8 +83,15 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, memory: int | N
                     at, k = at + length, k + 1
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+
+def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, memory: int | None = None) -> DataFrame:
+    """Encoded documents in pieces: only those longer than ``size`` are cut, into pieces of
+    ``size`` ids, the first of which takes what is over."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(tokenizer, end_id, size, memory), PIECE)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, memory: int | None = None) -> DataFrame:

@@ -35,6 +35,8 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Rows of the input to a task that writes, see Scratch.expect.
+TASK_ROWS = 5_000
 #: Whether partitions stay as many as there are cores, whatever their size.
 JOIN_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
@@ -49,14 +51,27 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/concordia-{label}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        #: Tables are written in so many tasks at most, if set.
+        self.tasks: int | None = None
         atexit.register(self._remove)
 
-    def keep(self, df: DataFrame, name: str, spread: bool = True) -> DataFrame:
+    def expect(self, rows: int) -> None:
+        """Write further tables in tasks of about TASK_ROWS of so many rows, but two a core at least.
+
+        Each file of a local folder costs several processes (for modes of it, its checksum and
+        folders) that the executor's JVM forks, so a small table should not be a file a partition.
+        """
+        self.tasks = max(2 * self.spark.sparkContext.defaultParallelism, rows // TASK_ROWS)
+
+    def keep(self, df: DataFrame, name: str, spread: bool = True, join: bool = True) -> DataFrame:
         """Write df as Parquet and return the written table.
 
         Unless ``spread``, shuffled partitions are joined up to the advisory size, so that a
-        small table is few tasks and files; else they are as many as there are cores.
+        small table is few tasks and files; else they are as many as there are cores.  Unless
+        ``join`` is false, what is left of them is joined further where expect() was called.
         """
+        if join and self.tasks:
+            df = df.coalesce(self.tasks)
         at = f"{self.path}/{name}"
         was = self.spark.conf.get(JOIN_FIRST)
         try:

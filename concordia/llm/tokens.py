@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -38,6 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Whether a byte is an ASCII letter or digit.
 _ENDS = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: Makes the C library give free memory back, where it can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 
 def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -260,3 +263,9 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator
             held = []
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def release() -> None:
+    """Give back memory that Arrow and malloc keep though nothing uses it: a worker lives on, and its executor has other steps to run."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)

@@ -4,8 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -544,6 +547,56 @@ def test_packing_encodes_a_number_once_whatever_marks_follow():
     assert len(e.tokenizer.seen) <= 304
 
 
+def test_near_dedup_writes_small_tables_in_few_files(spark, monkeypatch):
+    """Up to 40 files each were written, one a partition; two a core are enough here."""
+    files = {}
+
+    class Counted(neardup.Scratch):
+        def keep(self, df, name, *how, **more):
+            kept = super().keep(df, name, *how, **more)
+            files[name] = len(list(Path(f"{self.path}/{name}".removeprefix("file:").replace("//", "/")).glob("part-*")))
+            return kept
+
+    monkeypatch.setattr(neardup, "Scratch", Counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{base} x{i // 2}" for i in range(120)] + [" ".join(f"t{i // 2}y{k}" for k in range(30 + i % 2)) for i in range(200)]
+    frame = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    hold = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in hold}
+    try:
+        for k, v in hold.items():
+            spark.conf.set(k, v)
+        got = {r.component_id for r in neardup.near_duplicates(frame).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(got) == 101
+    assert max(n for name, n in files.items() if not name.startswith("sets-")) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_packing_workers_give_back_what_a_batch_took():
+    """60 MB stayed with a worker after its task, 2 MB do now."""
+    code = """
+import random, re, sys
+from pathlib import Path
+import pyarrow as pa
+from concordia.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) >> 10
+
+pick = random.Random(1)
+words = ["".join(pick.choices("abcdefghij", k=6)) for _ in range(30_000)]
+batches = [pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": [" ".join(pick.choices(words, k=2_000)) for _ in range(n)]}) for n in (1, 200, 200)]
+run = packing._cutter(sys.argv[1], 2, 1024, 1_000)
+list(run(iter(batches[:1])))
+before = held()
+print(sum(made.num_rows for made in run(iter(batches[1:]))) >= 400, held() - before)
+"""
+    done, more = subprocess.run([sys.executable, "-c", code, BPE], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert done == "True" and int(more) < 30
+
+
 @given(st.lists(st.integers(1, 64), max_size=120))
 @settings(max_examples=60, deadline=None)
 def test_bins_hold_everything_once(lengths):
